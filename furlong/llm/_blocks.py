@@ -57,7 +57,13 @@ def pack(df: DataFrame, sort_by: str, block_bytes: int = BLOCK_BYTES) -> DataFra
             yield block(held)
 
     packed = df.mapInArrow(run, "block long, payload binary")
-    return common.cut(packed.repartition(common.parallelism(df.sparkSession), "block"))
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint of an adaptive plan forgets how its rows are partitioned
+    try:
+        return common.cut(packed.repartition(common.parallelism(df.sparkSession), "block"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def unpack(payload: bytes) -> pa.Table:
