@@ -116,3 +116,14 @@ def from_bytes(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
     return out.view("<u8").reshape(-1)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit numbers, all first bytes before all second ones: small numbers then compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(raw: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").reshape(-1)

@@ -13,7 +13,7 @@ evaluate each token: the pair if it was seen, else the backoff weight times the
 
 Cases: NULL and empty texts have one token, the end. With no training text every token has probability one (score 0).
 Repeated rows count as often as they occur. Ids aren't used. Further columns are carried along; the outputs' names are
-replaced. Words count as equal by a 64-bit hash.
+replaced. Words count as equal by a hash: 48 bits and the part.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ GOOD_TURING = 5
 #: A history is dealt by the pair from this share of all tokens on.
 HOT = 1 / 500
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA41B56C4E9)
+#: Bytes of a count or rank, and of a hash beside the part that it is in.
+WIDE, KEY = 5, 6
 _REPLY = "block long, p int, blob binary, h long, sums array<double>"
 
 
@@ -99,15 +101,17 @@ class Block:
         self.learns = self.rows.column("_trains").to_numpy().astype(bool)[self.doc] if n else np.zeros(0, bool)
         self.words, self.index = np.unique(self.token, return_inverse=True)
 
-    def word_counts(self, block: dict, parts: int) -> np.ndarray:
-        """The corpus count of each distinct word, from the answers."""
+    def word_counts(self, block: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct word, from the answers: corpus count, rank among the words of its part with that count, part."""
         import zstandard
 
-        _, order, cuts = blk.split(self.words, parts)
-        out = np.zeros(len(self.words), np.int64)
+        part, order, cuts = blk.split(self.words, parts)
+        out = np.zeros((2, len(self.words)), np.int64)
         for a in block["words"] or []:
-            out[order[cuts[a["p"]] : cuts[a["p"] + 1]]] = np.frombuffer(zstandard.decompress(a["blob"]), "<i8")
-        return out
+            own = order[cuts[a["p"]] : cuts[a["p"] + 1]]
+            raw, n = zstandard.decompress(a["blob"]), len(own)
+            out[0, own], out[1, own] = blk.from_planes(raw, n, WIDE), blk.from_planes(raw, n, WIDE, WIDE * n)
+        return out[0], out[1], part
 
     def pairs(self, counts: np.ndarray, hot_from: float, parts: int):
         """Distinct (history, word) pairs in the order in which they are sent, and where each part's begin and end."""
@@ -137,7 +141,7 @@ def _ask_words(text: str):
         for p in range(parts):
             own = order[cuts[p] : cuts[p + 1]]
             if len(own):
-                yield p, len(own).to_bytes(4, "little") + b.words[own].astype("<u8").tobytes() + blk.zip_bytes(times[own].astype("<i8").tobytes())
+                yield p, len(own).to_bytes(4, "little") + blk.zip_bytes(blk.planes(b.words[own] >> np.uint64(16), KEY) + blk.planes(times[own], WIDE))
 
     return ask
 
@@ -154,29 +158,34 @@ def _count_words(p: int, block: list[int], blobs: list[bytes]) -> pa.Table:
     import zstandard
 
     sizes = [int.from_bytes(b[:4], "little") for b in blobs]
-    keys = np.concatenate([np.frombuffer(b, "<u8", n, 4) for b, n in zip(blobs, sizes, strict=True)])
-    times = np.concatenate([np.frombuffer(zstandard.decompress(b[4 + 8 * n :]), "<i8") for b, n in zip(blobs, sizes, strict=True)])
+    raw = [zstandard.decompress(b[4:]) for b in blobs]
+    keys = np.concatenate([blk.from_planes(b, n, KEY) for b, n in zip(raw, sizes, strict=True)])
+    times = np.concatenate([blk.from_planes(b, n, WIDE, KEY * n) for b, n in zip(raw, sizes, strict=True)])
     own, index = np.unique(keys, return_inverse=True)
     count = np.bincount(index, times, len(own)).astype(np.int64)
     found = np.bincount(np.minimum(count, GOOD_TURING + 2), minlength=GOOD_TURING + 3)
+    order = np.argsort(count, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own)) - np.searchsorted(count[order], count[order])
     ends = np.cumsum([0, *sizes])
-    back = [blk.zip_bytes(count[index[a:b]].astype("<i8").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    back = [blk.zip_bytes(blk.planes(count[index[a:b]], WIDE) + blk.planes(rank[index[a:b]], WIDE)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return _reply(block, p, back, [(0, [count.sum(), (count > 0).sum(), *found[1 : GOOD_TURING + 2]])])
 
 
 def _ask_pairs(text: str, hot_from: float):
     def ask(block: dict, parts: int):
         b = Block(block["payload"], text)
-        counts = b.word_counts(block, parts)
-        h, w, word, times, hot, _, cuts = b.pairs(counts, hot_from, parts)
+        counts, rank, part = b.word_counts(block, parts)
+        h, _, word, times, hot, _, cuts = b.pairs(counts, hot_from, parts)
         for p in range(parts):
             own = slice(cuts[p], cuts[p + 1])
             n = cuts[p + 1] - cuts[p]
             if n:
                 begin = np.flatnonzero(np.concatenate([[True], h[own][1:] != h[own][:-1]]))
-                small = np.stack([times[own], np.where(times[own] > 0, counts[word[own]], 0)]).astype("<i8")
-                runs = np.stack([np.diff(np.concatenate([begin, [n]])), hot[own][begin]]).astype("<i4")
-                yield p, np.array([n, len(begin)], "<u4").tobytes() + h[own][begin].astype("<u8").tobytes() + blk.to_bytes(w[own], 6) + blk.zip_bytes(small.tobytes() + runs.tobytes())
+                w = word[own]
+                names = blk.planes(counts[w], WIDE) + blk.planes(rank[w], WIDE) + blk.planes(part[w], 4) + blk.planes(times[own], WIDE)
+                heads = blk.planes(h[own][begin] >> np.uint64(16), KEY) + blk.planes(np.diff(np.concatenate([begin, [n]])), WIDE) + blk.planes(hot[own][begin], 1)
+                yield p, np.array([n, len(begin)], "<u4").tobytes() + blk.zip_bytes(names + heads)
 
     return ask
 
@@ -188,12 +197,12 @@ def _count_pairs(unigrams: Unigrams):
         h, w, times, lower, heads, hot, sizes, tops = [], [], [], [], [], [], [], []
         for b in blobs:
             n, m = map(int, np.frombuffer(b, "<u4", 2))
-            top = np.frombuffer(b, "<u8", m, 8)
-            rest = zstandard.decompress(b[8 + 8 * m + 6 * n :])
-            small = np.frombuffer(rest, "<i8", 2 * n).reshape(2, n)
-            runs = np.frombuffer(rest, "<i4", 2 * m, 16 * n).reshape(2, m)
-            h.append(np.repeat(top, runs[0])), w.append(blk.from_bytes(b[8 + 8 * m : 8 + 8 * m + 6 * n], 6))
-            times.append(small[0]), lower.append(small[1]), heads.append(top), hot.append(runs[1] > 0), sizes.append(n), tops.append(m)
+            raw = zstandard.decompress(b[8:])
+            count, rank, part, own = blk.from_planes(raw, n, WIDE), blk.from_planes(raw, n, WIDE, WIDE * n), blk.from_planes(raw, n, 4, 2 * WIDE * n), blk.from_planes(raw, n, WIDE, (2 * WIDE + 4) * n)
+            at = (3 * WIDE + 4) * n
+            top = blk.from_planes(raw, m, KEY, at)
+            h.append(np.repeat(top, blk.from_planes(raw, m, WIDE, at + KEY * m).astype(np.int64))), w.append(mix(count ^ mix(rank << np.uint64(24) | part)))
+            times.append(own.astype(np.int64)), lower.append(count.astype(np.int64)), heads.append(top), hot.append(blk.from_planes(raw, m, 1, at + (KEY + WIDE) * m) > 0), sizes.append(n), tops.append(m)
         heads, hot = np.concatenate(heads), np.concatenate(hot)
         h, w, times, lower = map(np.concatenate, (h, w, times, lower))
         order = np.lexsort((w, h))
@@ -216,8 +225,8 @@ def _count_pairs(unigrams: Unigrams):
         back = []
         for i in range(len(blobs)):
             x = sums[where[heads_end[i] : heads_end[i + 1]]]
-            counts = count[pair[pairs_end[i] : pairs_end[i + 1]]].astype("<i8").tobytes()
-            back.append(blk.zip_bytes(counts + x[:, :-1].astype("<i8").T.tobytes()) + x[:, -1].astype("<f8").tobytes())
+            counts = blk.planes(count[pair[pairs_end[i] : pairs_end[i + 1]]], WIDE)
+            back.append(blk.zip_bytes(counts + b"".join(blk.planes(x[:, j].astype(np.int64), WIDE) for j in range(GOOD_TURING + 1)) + x[:, -1].astype("<f8").tobytes()))
         warm = np.unique(where[hot])
         found = np.bincount(np.minimum(count, GOOD_TURING + 2), minlength=GOOD_TURING + 3)
         return _reply(block, p, back, [(0, [*found[1 : GOOD_TURING + 2], 0.0]), *((int(own[i].astype(np.int64)), sums[i]) for i in warm)])
@@ -235,20 +244,20 @@ def _scores(block: dict, parts: int, text: str, unigrams: Unigrams, hot_from: fl
     import zstandard
 
     b = Block(block["payload"], text)
-    counts = b.word_counts(block, parts)
+    counts, _, _ = b.word_counts(block, parts)
     h, _, word, _, hot, index, cuts = b.pairs(counts, hot_from, parts)
     count, sums = np.zeros(len(h), np.int64), np.zeros((len(h), GOOD_TURING + 2))
     for a in block["pairs"] or []:
         lo, hi = cuts[a["p"]], cuts[a["p"] + 1]
         begin = np.flatnonzero(np.concatenate([[True], h[lo:hi][1:] != h[lo:hi][:-1]]))
-        m, blob = len(begin), a["blob"]
-        packed = np.frombuffer(zstandard.decompress(blob[: len(blob) - 8 * m]), "<i8")
-        count[lo:hi] = packed[: hi - lo]
-        own = np.column_stack([packed[hi - lo :].reshape(GOOD_TURING + 1, m).T, np.frombuffer(blob, "<f8", m, len(blob) - 8 * m)])
+        n, m, raw = hi - lo, len(begin), zstandard.decompress(a["blob"])
+        count[lo:hi] = blk.from_planes(raw, n, WIDE)
+        own = [blk.from_planes(raw, m, WIDE, WIDE * (n + j * m)) for j in range(GOOD_TURING + 1)]
+        own = np.column_stack([*own, np.frombuffer(raw, "<f8", m, WIDE * (n + (GOOD_TURING + 1) * m))])
         sums[lo:hi] = np.repeat(own, np.diff(np.concatenate([begin, [hi - lo]])), 0)
     warm, where = np.unique(h[hot], return_inverse=True)
     if len(warm):
-        sums[hot] = np.stack([hot_sums.get(int(key), np.zeros(GOOD_TURING + 2)) for key in warm.astype(np.int64)])[where]
+        sums[hot] = np.stack([hot_sums.get(int(key), np.zeros(GOOD_TURING + 2)) for key in warm >> np.uint64(16)])[where]
     p = conditional(count, count > 0, unigrams.of(counts[word]), factor, sums)
     n = b.rows.num_rows
     own = counts[b.index]
