@@ -169,6 +169,7 @@ def _postings(docs: DataFrame, shingle: int, percent: int, most: int, levels: np
         return light, key, at
 
     def run(batches):
+        seen = set()  # of this task's sets: copies post once
         for batch in batches:
             out: list[list] = [[] for _ in names]
 
@@ -176,11 +177,12 @@ def _postings(docs: DataFrame, shingle: int, percent: int, most: int, levels: np
                 return pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())], names=names)  # noqa: B023
 
             for _, s in sets(batch.column(1), shingle):
-                if len(s):
+                if len(s) and (sig := signature(s)) not in seen:
+                    seen.add(sig)
                     light, key, at = keys(s)
                     out[0] += light
                     out[1] += key
-                    out[2] += [signature(s)] * len(key)
+                    out[2] += [sig] * len(key)
                     out[3] += [len(s)] * len(key)
                     out[4] += at
                     if len(out[0]) > 20_000:
@@ -227,7 +229,6 @@ def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "s"])
 
     full = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(whole, "node long, s binary")
-    full = full.withColumn("x", F.xxhash64("s")).dropDuplicates(["node", "x"]).drop("x")
 
     def decide(batches):
         for batch in batches:
@@ -276,7 +277,9 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int
     nodes = common.cut(named.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     same = named.select("sig", "doc_id").distinct().join(nodes.select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
-    posted = _postings(docs.filter("doc_id IS NOT NULL"), shingle, percent, most, levels).groupBy("light", "key", "sig").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    # Dealt once, by the list: the distinct members of a list and its length need no further exchange.
+    dealt = _postings(docs.filter("doc_id IS NOT NULL"), shingle, percent, most, levels).repartition(common.parallelism(df.sparkSession), "light", "key")
+    posted = dealt.groupBy("light", "key", "sig").agg(F.min("n").alias("n"), F.min("at").alias("at"))
     in_list = Window.partitionBy("light", "key")
     lists = posted.withColumn("of", F.count("*").over(in_list)).filter("of > 1").drop("of")
     lists = common.cut(lists.join(nodes.select("sig", "node"), "sig").drop("sig"))
