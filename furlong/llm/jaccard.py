@@ -10,8 +10,8 @@ Documents with equal sets are one node, so copies cost nothing further. Nodes fa
   common. Two light sets share such a subset exactly if they link, so the members of one subset's list are linked without a
   look at their sets, and a star over each list has all there is to know about components.
 * heavy sets, and light sets that may link with heavy ones, post a prefix to inverted lists: in one fixed order of shingles
-  (rare ones first, by a sketch of counts of fixed size), linked sets share one of the first s - ceil(0.8 s) + 1.
-  Lists are scanned for pairs whose sizes and places allow a link; parity bitmaps give an exact bound that drops nearly
+  (rare ones first, by how many sets have them), linked sets share one of the first s - ceil(0.8 s) + 1. Shingles of one
+  set aren't posted. Lists are scanned for pairs whose sizes and places allow a link; parity bitmaps give an exact bound that drops nearly
   all others, and the rest is decided on the sets themselves.
 
 The size up to which sets are light is chosen by cost, from the histogram of small sizes: subsets that would be sent
@@ -28,6 +28,7 @@ gives an empty one. Only the two columns named are read. Shingles count as equal
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -37,13 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from furlong.llm import _blocks as blk
 from furlong.llm import _common as common
 from furlong.llm._words import SPACES, Words, mix, slices, windows
 
 SHINGLE = 5
 PERCENT = 80
-#: Slots of the sketch of shingle counts (a byte each, as sent to the tasks).
-SLOTS = 1 << 20
+#: Bytes of a shingle's hash that are sent to be counted, besides what its part says. A false match makes a shingle seem
+#: more frequent, for all sets alike; it costs a comparison, not a link.
+KEY = 5
+#: Sizes below this are in the histogram, which so many rows add up.
+HISTOGRAM, TALLIES = 50, 64
 #: Bits of a set's parity bitmap.
 PARITY = 512
 #: Small sizes whose histogram the boundary is chosen from.
@@ -112,85 +117,96 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(7)) % np.uint64(PARITY), minlength=PARITY).astype(np.int64) % 2 == 1).tobytes()
 
 
-def _profile(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows of two kinds: a document (doc_id, n, sig, bits), or a slot of the sketch and its count in a task (slot, c)."""
+def _block_sets(block: dict, shingle: int) -> tuple[pa.Array, list[np.ndarray], list[bytes], np.ndarray, np.ndarray]:
+    """(ids, sets, signatures, distinct shingles of the block, in how many different sets of it each is)."""
+    rows = blk.unpack(block["payload"])
+    found = [s for _, s in sets(rows.column("text"), shingle)]
+    names = [signature(s) for s in found]
+    once = [s for s in dict(zip(names, found, strict=True)).values() if len(s)]
+    keys, times = np.unique(np.concatenate(once) if once else np.zeros(0, np.uint64), return_counts=True)
+    return rows.column("doc_id").combine_chunks(), found, names, keys, times
+
+
+def _ask_counts(shingle: int):
+    def ask(block: dict, parts: int):
+        _, found, _, keys, times = _block_sets(block, shingle)
+        _, order, cuts = blk.split(keys, parts)
+        for p in range(parts):
+            own = order[cuts[p] : cuts[p + 1]]
+            if len(own):
+                yield p, len(own).to_bytes(4, "little") + blk.to_bytes(keys[own] >> np.uint64(20), KEY) + blk.zip_bytes(blk.planes(times[own], 4))
+        sizes = np.bincount([len(s) for s in found if len(s) < HISTOGRAM], minlength=HISTOGRAM)
+        yield parts + block["block"] % TALLIES, sizes.astype("<i8").tobytes()
+
+    return ask
+
+
+def _count(parts: int):
+    """For each list of shingles a byte each: in how many different sets of the blocks they are, 255 at most; or a tally."""
+
+    def reduce(p: int, block: list[int], blobs: list[bytes]) -> pa.Table:
+        import zstandard
+
+        if p >= parts:
+            back, block = [np.sum([np.frombuffer(b, "<i8") for b in blobs], 0).astype("<i8").tobytes()], [None]
+        else:
+            sizes = [int.from_bytes(b[:4], "little") for b in blobs]
+            keys = np.concatenate([blk.from_bytes(b[4 : 4 + KEY * n], KEY) for b, n in zip(blobs, sizes, strict=True)])
+            times = np.concatenate([blk.from_planes(zstandard.decompress(b[4 + KEY * n :]), n, 4) for b, n in zip(blobs, sizes, strict=True)])
+            own, index = np.unique(keys, return_inverse=True)
+            count = np.minimum(np.bincount(index, times, len(own)), 255).astype(np.uint8)[index]
+            ends = np.cumsum([0, *sizes])
+            back = [blk.zip_bytes(count[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"block": pa.array(block, pa.int64()), "p": pa.array([p] * len(block), pa.int32()), "blob": pa.array(back, pa.binary())})
+
+    return reduce
+
+
+def _light_keys(s: np.ndarray, most: int, percent: int) -> Iterator[int]:
+    """A key for each subset that a partner of some light size must share."""
+    n = len(s)
+    for t in partners(n, percent):
+        if t <= most:
+            k = shared(n, t, percent)
+            tag = mix(np.array([min(n, t) << 16 | max(n, t) << 8 | k], np.uint64))
+            for chosen in itertools.combinations(range(n), k):
+                yield int(mix(tag ^ mix(s[list(chosen)]).sum(dtype=np.uint64))[0].astype(np.int64))
+
+
+def _profiles(counted: DataFrame, shingle: int, percent: int, most: int, parts: int) -> DataFrame:
+    """Rows of two kinds: a document (doc_id, n, sig, bits), or a posting (light, key, sig, n, at). A light posting's key
+    names a subset; another's is a shingle, with its place in the set's order: by count, then by hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("bits", pa.binary()), ("light", pa.bool_()), ("key", pa.int64()), ("at", pa.int32())])
+
+    def rows(block: dict):
+        import zstandard
+
+        ids, found, names, keys, _ = _block_sets(block, shingle)
+        count = np.ones(len(keys), np.uint8)
+        _, order, cuts = blk.split(keys, parts)
+        for a in block["counts"] or []:
+            count[order[cuts[a["p"]] : cuts[a["p"] + 1]]] = np.frombuffer(zstandard.decompress(a["blob"]), np.uint8)
+        yield from zip(ids.to_pylist(), map(len, found), names, (parity(s) if len(s) else None for s in found), itertools.repeat(None), itertools.repeat(None), itertools.repeat(None))
+        nameless = {sig for i, sig in zip(ids.to_pylist(), names, strict=True) if i is None} - {sig for i, sig in zip(ids.to_pylist(), names, strict=True) if i is not None}
+        for sig, s in dict(zip(names, found, strict=True)).items():
+            n = len(s)
+            if not n or sig in nameless:
+                continue
+            if n <= most:
+                yield from ((None, n, sig, None, True, key, 0) for key in _light_keys(s, most, percent))
+            if n > most or 100 * n // percent > most:
+                c = count[np.searchsorted(keys, s)]
+                first = np.lexsort((s, c))[: prefix(n, percent)]
+                yield from ((None, n, sig, None, False, key, int(at)) for key, at in zip(s[first].astype(np.int64).tolist(), range(len(first)), strict=True) if c[first[at]] > 1)
 
     def run(batches):
-        sketch = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            n, sig, bits, held = [], [], [], []
-            for _, s in sets(batch.column(1), shingle):
-                n.append(len(s)), sig.append(signature(s)), bits.append(parity(s) if len(s) else None)
-                held.append(s & np.uint64(SLOTS - 1))
-                if len(held) == 500:
-                    sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=SLOTS)
-                    held = []
-            if held:
-                sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=SLOTS)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), none, none], names=["doc_id", "n", "sig", "bits", "slot", "c"])
-        # Of this task's counts, those that stand out: a slot that every task finds usual is not a frequent shingle.
-        usual = sketch.mean()
-        slots = np.flatnonzero(sketch > usual + 6 * math.sqrt(usual) + 2)
-        m = len(slots)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(slots), pa.array(sketch[slots])], names=["doc_id", "n", "sig", "bits", "slot", "c"])
-
-    return common.cut(docs.mapInArrow(run, "doc_id long, n int, sig binary, bits binary, slot long, c long"))
-
-
-def _choose(n: int, k: int) -> Iterator[tuple[int, ...]]:
-    import itertools
-
-    return itertools.combinations(range(n), k)
-
-
-def _postings(docs: DataFrame, shingle: int, percent: int, most: int, levels: np.ndarray) -> DataFrame:
-    """(light, key, sig, n, at): light keys name a subset, its size and the two set sizes; others a shingle, with its place."""
-    names = ["light", "key", "sig", "n", "at"]
-    order_bits = np.uint64(56)
-
-    def keys(s: np.ndarray) -> tuple[list, list, list]:
-        light, key, at = [], [], []
-        n = len(s)
-        if n <= most:
-            for t in partners(n, percent):
-                if t <= most:
-                    k = shared(n, t, percent)
-                    tag = np.uint64(min(n, t) << 16 | max(n, t) << 8 | k)
-                    for chosen in _choose(n, k):
-                        light.append(True), at.append(0)
-                        key.append(int(mix(np.array([mix(s[list(chosen)]).sum(dtype=np.uint64) ^ mix(np.array([tag]))[0]], np.uint64))[0].astype(np.int64)))
-        if n > most or 100 * n // percent > most:
-            rank = (levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << order_bits) | (mix(s) >> np.uint64(8))
-            first = np.sort(rank)[: prefix(n, percent)] if n < 64 else np.sort(np.partition(rank, prefix(n, percent) - 1)[: prefix(n, percent)])
-            light += [False] * len(first)
-            key += first.astype(np.int64).tolist()
-            at += range(len(first))
-        return light, key, at
+            for block in batch.to_pylist():
+                some = rows(block)
+                while part := list(itertools.islice(some, 20_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-    def run(batches):
-        seen = set()  # of this task's sets: copies post once
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-
-            def packed():
-                return pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())], names=names)  # noqa: B023
-
-            for _, s in sets(batch.column(1), shingle):
-                if len(s) and (sig := signature(s)) not in seen:
-                    seen.add(sig)
-                    light, key, at = keys(s)
-                    out[0] += light
-                    out[1] += key
-                    out[2] += [sig] * len(key)
-                    out[3] += [len(s)] * len(key)
-                    out[4] += at
-                    if len(out[0]) > 20_000:
-                        yield packed()
-                        out = [[] for _ in names]
-            yield packed()
-
-    return docs.mapInArrow(run, "light boolean, key long, sig binary, n int, at int")
+    return common.cut(counted.mapInArrow(run, "doc_id long, n int, sig binary, bits binary, light boolean, key long, at int"))
 
 
 def _allowed(a: str, b: str, percent: int) -> F.Column:
@@ -266,19 +282,20 @@ def components(links: DataFrame) -> DataFrame:
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of df."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = _profile(docs, shingle)
-    rows = profile.filter("sig IS NOT NULL").select("doc_id", "n", "sig", "bits")
-    levels = np.zeros(SLOTS, np.uint8)
-    for r in profile.filter("slot IS NOT NULL").groupBy("slot").agg(F.log2(F.sum("c")).cast("int").alias("level")).collect():
-        levels[r.slot] = r.level
-    histogram = {r.n: r["count"] for r in rows.filter(F.col("n").between(1, 2 * MOST_LIGHT)).groupBy("n").count().collect()}
+    parts = common.parallelism(df.sparkSession)
+    blocks = blk.pack(docs, "doc_id")
+    counts = common.cut(blk.answers(blk.requests(blocks, _ask_counts(shingle), parts), _count(parts)))
+    tallies = [np.frombuffer(r.blob, "<i8") for r in counts.filter("block IS NULL").select("blob").collect()]
+    histogram = {s: int(n) for s, n in enumerate(np.sum(tallies, 0) if tallies else []) if s and n}
     most = boundary(histogram, percent)
+    profile = _profiles(blk.delivered(blocks, counts.filter("block IS NOT NULL"), "counts"), shingle, percent, most, parts)
+    rows = profile.filter("key IS NULL").select("doc_id", "n", "sig", "bits")
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = common.cut(named.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     same = named.select("sig", "doc_id").distinct().join(nodes.select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     # Dealt once, by the list: the distinct members of a list and its length need no further exchange.
-    dealt = _postings(docs.filter("doc_id IS NOT NULL"), shingle, percent, most, levels).repartition(common.parallelism(df.sparkSession), "light", "key")
+    dealt = profile.filter("key IS NOT NULL").select("light", "key", "sig", "n", "at").repartition(parts, "light", "key")
     posted = dealt.groupBy("light", "key", "sig").agg(F.min("n").alias("n"), F.min("at").alias("at"))
     in_list = Window.partitionBy("light", "key")
     lists = posted.withColumn("of", F.count("*").over(in_list)).filter("of > 1").drop("of")
