@@ -14,6 +14,7 @@ have equal scores. Columns named ``score`` or ``predicted`` are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,9 +44,9 @@ class Machine:
     factors: np.ndarray
 
 
-def features(column: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, value) of every feature of every text. declared: characters by the metadata, NaN where missing."""
-    rows, slots, values = [], [], []
+def features(column: pa.Array, declared: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, row, slot, value) of every feature, slice by slice of the texts; rows count from the slice's
+    first. declared: characters by the metadata, NaN where missing."""
     for lo, hi, data, offsets in slices(column):
         n = hi - lo
         w = Words(data, offsets, lower=True)
@@ -57,7 +58,7 @@ def features(column: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.nda
         doc = (own >> np.uint64(BITS)).astype(np.int64)
         value = np.log1p(times)
         norm = np.sqrt(np.bincount(doc, value * value, n))
-        rows.append(lo + doc), slots.append((own & np.uint64((1 << BITS) - 1)).astype(np.int64)), values.append(value / np.maximum(norm[doc], 1e-9))
+        rows, slots, values = [doc], [(own & np.uint64((1 << BITS) - 1)).astype(np.int64)], [value / np.maximum(norm[doc], 1e-9)]
         size = np.diff(offsets).astype(float)
         per = np.maximum(size, 1)
         edge = np.repeat(np.arange(n), np.diff(offsets))
@@ -74,14 +75,12 @@ def features(column: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.nda
         for j, x in enumerate(stats):
             x = np.clip(x, 0, 2)
             base = (1 << BITS) + j * (1 + _STEPS)
-            rows += [np.arange(lo, hi)] * 2
+            rows += [np.arange(n)] * 2
             slots += [np.full(n, base), base + 1 + np.minimum((x * _STEPS).astype(np.int64), _STEPS - 1)]
             values += [x, np.full(n, 0.5)]
         missing = np.flatnonzero(np.isnan(told))
-        rows.append(lo + missing), slots.append(np.full(len(missing), SLOTS - 1)), values.append(np.ones(len(missing)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(slots), np.concatenate(values)
+        rows.append(missing), slots.append(np.full(len(missing), SLOTS - 1)), values.append(np.ones(len(missing)))
+        yield lo, hi, np.concatenate(rows), np.concatenate(slots), np.concatenate(values)
 
 
 def margins(m: Machine, n: int, row: np.ndarray, slot: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -138,13 +137,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
 
     def run(batches):
         for batch in batches:
-            row, slot, value = features(batch.column(1), _declared(batch, "c"))
-            order = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.ListArray.from_arrays(ends, pa.array(slot[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[order].astype(np.float32)))],
-                names=["h", "y", "slots", "values"],
-            )
+            for lo, hi, row, slot, value in features(batch.column(1), _declared(batch, "c")):
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(hi - lo + 1)).astype(np.int32)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.ListArray.from_arrays(ends, pa.array(slot[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[order].astype(np.float32)))],
+                    names=["h", "y", "slots", "values"],
+                )
 
     found = some.mapInArrow(run, "h long, y double, slots array<int>, values array<float>").toArrow().sort_by("h")
     n = found.num_rows
@@ -162,7 +162,9 @@ def score(df: DataFrame, machine: Machine, text: str = "text", chars: str = "n_c
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            z = margins(machine, batch.num_rows, *features(column, _declared(batch, chars)))
+            z = np.zeros(batch.num_rows)
+            for lo, hi, *found in features(column, _declared(batch, chars)):
+                z[lo:hi] = margins(machine, hi - lo, *found)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
