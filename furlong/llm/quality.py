@@ -129,11 +129,9 @@ def _declared(batch: pa.RecordBatch, chars: str) -> np.ndarray:
     return np.full(batch.num_rows, np.nan) if at < 0 else batch.column(at).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", chars: str = "n_chars", rows: int = 8000) -> Machine:
-    """A machine from about ``rows`` labelled rows at most: those with the smallest seeded hashes of id and text."""
-    usable = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    usable = usable.select(F.xxhash64(F.lit(11), F.col(key), F.length(text)).alias("h"), F.col(text).alias("t"), F.col(label).cast("double").alias("y"), *([F.col(chars).alias("c")] if chars in labelled.columns else []))
-    some = usable.orderBy("h").limit(rows) if usable.limit(rows + 1).count() > rows else usable
+def _learn(some: DataFrame, text: str, label: str, key: str, chars: str, rows: int) -> Machine:
+    """Trained on some, of which about ``rows`` rows are expected; more, by repeated ids, are cut once they are features."""
+    usable = some.select(F.xxhash64(F.lit(11), F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"), F.col(label).cast("double").alias("y"), *([F.col(chars).alias("c")] if chars in some.columns else []))
 
     def run(batches):
         for batch in batches:
@@ -146,7 +144,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
                     names=["h", "y", "slots", "values"],
                 )
 
-    found = some.mapInArrow(run, "h long, y double, slots array<int>, values array<float>").toArrow().sort_by("h")
+    found = usable.mapInArrow(run, "h long, y double, slots array<int>, values array<float>").orderBy("h").limit(rows).toArrow().sort_by("h")
     n = found.num_rows
     if not n:
         return Machine(0.0, np.zeros(SLOTS), np.zeros((SLOTS, RANK)))
@@ -155,6 +153,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     return train(np.repeat(np.arange(n), counts), slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), found.column("y").to_numpy())
 
 
+def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", chars: str = "n_chars", rows: int = 8000) -> Machine:
+    """A machine from ``rows`` labelled rows at most: those with the smallest seeded hashes of the id."""
+    usable = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    ids = usable.select(key).distinct().orderBy(F.xxhash64(F.lit(11), F.col(key)), key).limit(rows)
+    return _learn(usable.join(F.broadcast(ids), key, "left_semi"), text, label, key, chars, rows)
+
+
 def score(df: DataFrame, machine: Machine, text: str = "text", chars: str = "n_chars", threshold: float = 0.7) -> DataFrame:
     """df with score (0 to 1) and predicted (1 from the threshold on)."""
     base = df.drop("score", "predicted")
@@ -172,11 +177,14 @@ def score(df: DataFrame, machine: Machine, text: str = "text", chars: str = "n_c
     return base.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Fitted on labels.quality of the documents outside fold 2 of 4."""
+def fit_tables(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Machine:
+    """Fitted on labels.quality of ``rows`` documents at most outside fold 2 of 4. The ids are drawn before any text moves:
+    what is broadcast is that many ids and labels."""
     teach = ~common.in_fold(F.col("doc_id"), 4, 2)
-    y = labels.filter(teach).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return fit(docs.filter(teach).select("doc_id", "text", "n_chars").join(y, "doc_id"))
+    y = labels.filter(teach & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    usable = docs.filter(teach & F.col("text").isNotNull()).select("doc_id", "text", "n_chars")
+    ids = y.join(usable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)
+    return _learn(usable.join(F.broadcast(ids), "doc_id"), "text", "quality", "doc_id", "n_chars", rows)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
