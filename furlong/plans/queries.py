@@ -14,11 +14,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def _register(sql: str | None = None, with_records: bool = True):
+def _register(sql: str | None = None, with_records: bool = True, recursive: bool = False):
     def add(query):
         QUERIES[query.__name__] = query
         if sql is not None:
-            ORACLE_SQL[query.__name__] = f"WITH {RECORDS_SQL}\n{sql}" if with_records else sql
+            ORACLE_SQL[query.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{RECORDS_SQL}\n{sql}" if with_records else sql
         return query
 
     return add
@@ -327,3 +327,6 @@ def latest_snapshot_per_user(spark, sf_dir):
 def train_rounds(spark, sf_dir):
     frame = modeling.chronological_split(history.training_frame(records(spark, sf_dir)))
     return modeling.train(frame, history.FEATURES, "target_top3", modeling.TrainConfig(epochs=3, hidden_size=16))[1]
+
+
+from furlong.plans import more_queries  # noqa: E402, F401  (registers its own here)
