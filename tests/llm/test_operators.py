@@ -100,6 +100,8 @@ def test_quality(spark, none, docs):
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(none, machine).count() == 0
     assert {r.score for r in quality.score(docs, quality.fit(none.withColumn("quality", F.lit(1)))).collect()} == {0.5}
+    few = quality.fit(docs.unionByName(docs).withColumn("quality", (F.col("doc_id") % 2).cast("int")), rows=2)
+    assert quality.score(docs, few).count() == docs.count()
 
 
 def test_substring(docs, none):
