@@ -112,3 +112,8 @@ def test_period_flag(rows: DataFrame, first: str, last: str, date: str = "race_d
 
 
 test_period_flag.__test__ = False
+
+
+def runs_by_source(ledger: DataFrame, sources: list[str]) -> DataFrame:
+    """The ids of runs whose data came from one of the sources."""
+    return ledger.filter(F.col("source").isin(sources)).select("run_id").distinct()

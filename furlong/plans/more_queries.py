@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furlong.functions import pages, parse
-from furlong.operators import cards, modeling, runs
+from furlong.operators import cards, maintenance, modeling, runs
 from furlong.plans.queries import _SPLIT, _register
 from furlong.sources.records import records, table
 
@@ -236,3 +236,20 @@ def fn_sex_age(spark, sf_dir):
 def split_paths(spark, sf_dir):
     text = F.concat(F.lit(" a/"), F.col("page_id").cast("string"), F.lit("; ;b ;"))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(pages.split_paths(text)).alias("path"))
+
+
+def _ledger(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"))
+
+
+@_register("""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 5 = 0 THEN 'done' ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS source FROM orders""", False)
+def upsert_ledger(spark, sf_dir):
+    ledger = _ledger(spark, sf_dir)
+    new = ledger.filter(F.col("run_id").cast("long") % 5 == 0).select("run_id", F.lit("done").alias("status"))
+    return maintenance.upsert_ledger(ledger, new, "run_id")
+
+
+@_register("SELECT CAST(o_orderkey AS VARCHAR) AS run_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", False)
+def runs_by_source(spark, sf_dir):
+    return runs.runs_by_source(_ledger(spark, sf_dir), ["1-URGENT", "2-HIGH"])
