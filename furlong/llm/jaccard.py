@@ -152,9 +152,14 @@ def _count(parts: int):
         else:
             sizes = [int.from_bytes(b[:4], "little") for b in blobs]
             keys = np.concatenate([blk.from_bytes(b[4 : 4 + KEY * n], KEY) for b, n in zip(blobs, sizes, strict=True)])
-            times = np.concatenate([blk.from_planes(zstandard.decompress(b[4 + KEY * n :]), n, 4) for b, n in zip(blobs, sizes, strict=True)])
-            own, index = np.unique(keys, return_inverse=True)
-            count = np.minimum(np.bincount(index, times, len(own)), 255).astype(np.uint8)[index]
+            times = np.concatenate([blk.from_planes(zstandard.decompress(b[4 + KEY * n :]), n, 4).astype(np.uint32) for b, n in zip(blobs, sizes, strict=True)])
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            del keys
+            sums = np.minimum(np.add.reduceat(times[order], np.flatnonzero(new), dtype=np.uint64), 255).astype(np.uint8)
+            count = np.empty(len(order), np.uint8)
+            count[order] = np.repeat(sums, np.diff(np.append(np.flatnonzero(new), len(order))))
             ends = np.cumsum([0, *sizes])
             back = [blk.zip_bytes(count[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": pa.array(block, pa.int64()), "p": pa.array([p] * len(block), pa.int32()), "blob": pa.array(back, pa.binary())})
