@@ -1,7 +1,8 @@
 """Words and hashes of whole Arrow text columns, vectorised with numpy.
 
-Everything works on slices of a batch that hold about a megabyte of text (or one longer text), so that the memory of a
-task doesn't depend on the size of its partition.
+Everything works on slices of a batch that hold about a quarter of a megabyte of text (or one longer text), so that the
+memory of a task doesn't depend on the size of its partition. Rolling sums are taken piece by piece, as a long text's take
+eight bytes or more for each of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes, or windows, whose sums are held at a time.
+PIECE = 1 << 16
 #: An odd number and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -98,12 +101,19 @@ class Words:
         """One 64-bit hash for each word."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data) + 1)
-        data = LOWER[self.data] if self._lower else self.data
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-        own = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(own + (self.ends - self.starts).astype(np.uint64))
+        out = np.empty(len(self), np.uint64)
+        lo = 0
+        while lo < len(out):
+            base = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + PIECE, "right")))
+            starts, ends = self.starts[lo:hi] - base, self.ends[lo:hi] - base
+            data = self.data[base : base + ends[-1]]
+            up, down = powers(len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[LOWER[data] if self._lower else data] * up[: len(data)], out=total[1:])
+            out[lo:hi] = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+            lo = hi
+        return out
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -111,10 +121,14 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[:n] + np.uint64(width))
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, PIECE):
+        part = hashes[lo : lo + PIECE + width - 1]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        out[lo : lo + PIECE] = mix((total[width:] - total[:-width]) * down[: len(part) - width + 1] + np.uint64(width))
+    return out
 
 
 def whole(doc: np.ndarray, width: int) -> np.ndarray:

@@ -61,8 +61,7 @@ def features(column: pa.Array, declared: np.ndarray) -> Iterator[tuple[int, int,
         rows, slots, values = [doc], [(own & np.uint64((1 << BITS) - 1)).astype(np.int64)], [value / np.maximum(norm[doc], 1e-9)]
         size = np.diff(offsets).astype(float)
         per = np.maximum(size, 1)
-        edge = np.repeat(np.arange(n), np.diff(offsets))
-        share = lambda flags: np.bincount(edge, flags, n)  # noqa: B023, E731
+        share = lambda flags: np.where(size > 0, np.add.reduceat(np.append(flags, False), offsets[:-1], dtype=np.int64), 0).astype(float)  # noqa: B023, E731
         distinct = np.bincount(np.unique(w.doc.astype(np.uint64) << np.uint64(40) | key >> np.uint64(24)).astype(np.uint64) >> np.uint64(40), minlength=n)
         again = np.zeros(len(key))
         again[1:] = (key[1:] == key[:-1]) & (w.doc[1:] == w.doc[:-1])
