@@ -4,6 +4,7 @@ import math
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,12 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert zlib.crc32(b"1") % 4 in range(4)
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    from furlong.llm import _words, jaccard
+
+    texts = pa.array(["", None, "A b " * 500, "x" * 300 + " y", " ", "one two three four five six"], pa.string())
+    want = [s.tolist() for _, s in jaccard.sets(texts, 5)]
+    monkeypatch.setattr(_words, "PIECE", 7)
+    assert [s.tolist() for _, s in jaccard.sets(texts, 5)] == want
