@@ -86,6 +86,11 @@ def delete_run(tables: dict[str, DataFrame], ledger: DataFrame, run_ids: list[st
     return out
 
 
+def delete_model(tables: dict[str, DataFrame], model_ids: list[str], column: str = "model_run_id") -> dict[str, DataFrame]:
+    """The tables without rows that carry exactly one of the ids; tables without the column and NULL ids stay."""
+    return {name: t.filter(~matches(F.col(column), model_ids)) if column in t.columns else t for name, t in tables.items()}
+
+
 def deleted_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """Of each table that lost rows: how many."""
     found = None

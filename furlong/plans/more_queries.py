@@ -94,6 +94,14 @@ def delete_run_cascade(spark, sf_dir):
     return runs.deleted_counts(tables, runs.delete_run(tables, ledger, ["run_1"]))
 
 
+@_register(""", b AS (SELECT 'models' AS table_name, count(DISTINCT jockey_id) AS deleted FROM r WHERE jockey_id = '1'
+  UNION ALL SELECT 'predictions', count(*) FROM r WHERE jockey_id = '1') SELECT * FROM b WHERE deleted > 0""")
+def delete_model_cascade(spark, sf_dir):
+    predictions = records(spark, sf_dir).select(F.col("jockey_id").alias("model_run_id"), "race_id", "horse_id")
+    tables = {"models": predictions.select("model_run_id").filter("model_run_id IS NOT NULL").distinct(), "predictions": predictions, "races": predictions.select("race_id")}
+    return runs.deleted_counts(tables, runs.delete_model(tables, ["1"]))
+
+
 @_register("SELECT race_id, horse_id, horse_number, jockey_id FROM r QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY race_date DESC, horse_number DESC) = 1")
 def latest_page_version(spark, sf_dir):
     return runs.latest_version(records(spark, sf_dir), "race_id", F.desc("race_date"), F.desc("horse_number")).select("race_id", "horse_id", "horse_number", "jockey_id")
