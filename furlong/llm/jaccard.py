@@ -6,9 +6,10 @@ documents link when 100 * |intersection| >= percent * |union|.
 
 Documents with equal sets are one node, so copies cost nothing further. Nodes fall into two classes by size:
 
-* light sets enumerate, for each size t that a partner may have, all subsets of the size that a link of (s, t) needs in
-  common. Two light sets share such a subset exactly if they link, so the members of one subset's list are linked without a
-  look at their sets, and a star over each list has all there is to know about components.
+* light sets enumerate, for each size t that a partner may have, all subsets of the size k that a link of (s, t) needs in
+  common. Two light sets of sizes s and t share such a subset exactly if they link. Sets of the larger size meet in that list
+  too, having only k in common, which may be too little for them; so a list's star is over its smallest set, which tells all
+  there is to know about components, and has only edges for which k is enough. Pairs of the larger size have their own lists.
 * heavy sets, and light sets that may link with heavy ones, post a prefix to inverted lists: in one fixed order of shingles
   (rare ones first, by how many sets have them), linked sets share one of the first s - ceil(0.8 s) + 1. Shingles of one
   set aren't posted. Lists are scanned for pairs whose sizes and places allow a link; parity bitmaps give an exact bound that drops nearly
@@ -167,20 +168,20 @@ def _count(parts: int):
     return reduce
 
 
-def _light_keys(s: np.ndarray, most: int, percent: int) -> Iterator[int]:
-    """A key for each subset that a partner of some light size must share."""
+def _light_keys(s: np.ndarray, most: int, percent: int) -> Iterator[tuple[int, int]]:
+    """(key, size) of each subset that a partner of some light size must share."""
     n = len(s)
     for t in partners(n, percent):
         if t <= most:
             k = shared(n, t, percent)
             tag = mix(np.array([min(n, t) << 16 | max(n, t) << 8 | k], np.uint64))
             for chosen in itertools.combinations(range(n), k):
-                yield int(mix(tag ^ mix(s[list(chosen)]).sum(dtype=np.uint64))[0].astype(np.int64))
+                yield int(mix(tag ^ mix(s[list(chosen)]).sum(dtype=np.uint64))[0].astype(np.int64)), k
 
 
 def _profiles(counted: DataFrame, shingle: int, percent: int, most: int, parts: int) -> DataFrame:
     """Rows of two kinds: a document (doc_id, n, sig, bits), or a posting (light, key, sig, n, at). A light posting's key
-    names a subset; another's is a shingle, with its place in the set's order: by count, then by hash."""
+    names a subset, of size at; another's is a shingle, with its place in the set's order: by count, then by hash."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("bits", pa.binary()), ("light", pa.bool_()), ("key", pa.int64()), ("at", pa.int32())])
 
     def rows(block: dict):
@@ -198,7 +199,7 @@ def _profiles(counted: DataFrame, shingle: int, percent: int, most: int, parts:
             if not n or sig in nameless:
                 continue
             if n <= most:
-                yield from ((None, n, sig, None, True, key, 0) for key in _light_keys(s, most, percent))
+                yield from ((None, n, sig, None, True, key, k) for key, k in _light_keys(s, most, percent))
             if n > most or 100 * n // percent > most:
                 c = count[np.searchsorted(keys, s)]
                 first = np.lexsort((s, c))[: prefix(n, percent)]
@@ -306,8 +307,10 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int
     lists = posted.withColumn("of", F.count("*").over(in_list)).filter("of > 1").drop("of")
     lists = common.cut(lists.join(nodes.select("sig", "node"), "sig").drop("sig"))
 
-    ranked = lists.withColumn("head", F.min(F.struct("node", "n", "at")).over(in_list)).filter("node <> head.node").withColumn("own", F.struct("node", "n", "at"))
-    light = ranked.filter("light").select(F.col("node").alias("u"), F.col("head.node").alias("v"))
+    first = F.struct(F.when(F.col("light"), F.col("n")).alias("size"), "node", "n", "at")
+    ranked = lists.withColumn("head", F.min(first).over(in_list)).filter("node <> head.node").withColumn("own", F.struct("node", "n", "at"))
+    enough = percent * (F.col("head.n") + F.col("n")) <= F.col("at") * (100 + percent)
+    light = ranked.filter("light").filter(enough).select(F.col("node").alias("u"), F.col("head.node").alias("v"))
     star = ranked.filter("NOT light").filter(_allowed("head", "own", percent)).select(F.col("head.node").alias("u"), F.col("node").alias("v"))
     links = common.cut(_decided(star, nodes, docs, shingle, percent).union(light).union(same).distinct())
     root = components(links)

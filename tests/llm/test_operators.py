@@ -80,6 +80,17 @@ def test_jaccard_small_and_large_sets_by_brute_force(spark):
     assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == {i: find(i) for i in range(len(rows))}
 
 
+def test_jaccard_light_lists_hold_no_false_links(spark, monkeypatch):
+    """Sets of one light size that share just enough for a link with a smaller one, but not with each other."""
+    monkeypatch.setattr(jaccard, "boundary", lambda *_: 8)
+    rows = ["a b c d e f g h x", "a b c d e f g h y"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == {0: 0, 1: 1}
+    more = [*rows, "a b c d e f g h"]  # links with both
+    df = spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == {0: 0, 1: 0, 2: 0}
+
+
 def test_language(spark, none, docs):
     found = QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").alias("p").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
