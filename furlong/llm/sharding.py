@@ -4,16 +4,18 @@ Pass one scatters the records uniformly into buckets that fit into memory, by a
 order with a seeded Fisher-Yates shuffle. A record's place in the whole order is its bucket's offset plus its place in the
 bucket; shard and slot follow from that place, so shard sizes differ by one row at most (the law ``rows``).
 
-Cases: NULLs hash like any value. Rows that are equal in every column would meet in one bucket; an occurrence number from
-the input's order parts them where the scatter needs it, and since such rows are equal the result is the same set. An
-empty table gives an empty one. Columns named ``shard`` or ``slot`` are replaced. The order within a bucket is fixed by
-sorting before the shuffle, so a recomputed task writes the same rows to the same places.
+Cases: NULLs hash like any value. Rows that are equal in every column would meet in one bucket; they are counted first, and
+scattered by the row and an occurrence number from 0 (very many are dealt evenly over the buckets). A row's places so depend
+on the rows and the seed alone, not on the input's files, partitions or order. Only rows with counts move, so a large group
+of equal rows is no large task. An empty table gives an empty one. Columns named ``shard`` or ``slot`` are replaced. The
+order within a bucket is fixed by sorting before the shuffle, so a recomputed task writes the same rows to the same places.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from furlong.llm import _common as common
 
 BUCKET_BYTES = 16 << 20
+#: So many equal rows at most are scattered one by one; more are dealt evenly.
+MANY = 1024
 
 
 def shuffle(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -30,14 +34,28 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKE
     sizes = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in base.schema.fields if f.dataType.simpleString() in ("string", "binary")]
     total = base.select(sum(sizes, F.lit(64)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    salt = F.monotonically_increasing_id()
-    scattered = base.withColumn("_h", F.xxhash64(F.lit(seed), *columns)).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), "_h", salt), F.lit(buckets)).cast("int"))
-    counts = scattered.groupBy("_b").agg(F.count("*").alias("_n"))
+    # Grouping takes -0.0 for 0.0 and folds collated strings: such columns are told apart by their text too.
+    loose = [f.name for f in base.schema.fields if any(x in f.dataType.simpleString() for x in ("float", "double", "collate"))]
+    texts = [F.col(f"`{c}`").cast("string") for c in loose]
+    firm = [F.col(f"`{c}`") for c in columns]
+    keyed = base.withColumns({"_h": F.xxhash64(F.lit(seed), *firm, *texts), "_g": F.xxhash64(F.lit(seed + 2), *firm, *texts), **{f"_t{i}": t for i, t in enumerate(texts)}})
+    keep = [F.first(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(loose)]
+    distinct = keyed.groupBy(*firm, "_h", "_g", *(f"_t{i}" for i in range(len(loose)))).agg(F.count("*").alias("_m"), *keep)
+    distinct = distinct.select(*(F.col(f"_v{loose.index(c)}").alias(c) if c in loose else F.col(f"`{c}`") for c in columns), "_h", "_g", "_m")
+    one = lambda i: F.pmod(F.xxhash64(F.lit(seed + 1), "_h", i), F.lit(buckets)).cast("int")
+    start = one(F.lit(-1).cast("long"))
+    share = lambda b: F.expr(f"_m div {buckets}") + (F.pmod(b - start, F.lit(buckets)) < F.col("_m") % buckets).cast("long")
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda i: F.struct(one(i).alias("b"), F.lit(1).cast("long").alias("n")))
+    even = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.struct(b.alias("b"), share(b).alias("n")))
+    dealt = distinct.withColumn("_d", F.explode(F.when(F.col("_m") <= MANY, each).otherwise(even)))
+    scattered = dealt.select(*firm, "_h", "_g", F.col("_d.b").alias("_b"), F.col("_d.n").alias("_times")).filter("_times > 0")
+    counts = scattered.groupBy("_b").agg(F.sum("_times").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_b", before.alias("_o"))
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([("_h", "ascending")])
+        bucket = bucket.sort_by([("_h", "ascending"), ("_g", "ascending")])
+        bucket = bucket.take(pa.array(np.repeat(np.arange(bucket.num_rows), bucket.column("_times").to_numpy())))
         n, order = bucket.num_rows, list(range(bucket.num_rows))
         draw = random.Random(f"{seed}/{bucket.column('_b')[0].as_py()}")
         for i in range(n - 1, 0, -1):

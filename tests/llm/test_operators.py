@@ -194,6 +194,19 @@ def test_sharding(docs, none):
     assert sharding.shuffle(none, 3).count() == 0
 
 
+def test_sharding_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY", 20, raising=False)
+    rows = [(i, f"text {i}", float(i)) for i in range(60)] + [(7, "same", 0.0)] * 9 + [(7, "same", -0.0)] * 5 + [(8, None, float("nan"))] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, x double")
+    found = []
+    for layout in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("doc_id")), df.repartition(3, "text")):
+        out = sharding.shuffle(layout, 3, seed=1, bucket_bytes=900).collect()
+        assert sorted(str(tuple(r)[:3]) for r in out) == sorted(map(str, rows))
+        assert sorted(r.slot * 3 + r.shard for r in out) == list(range(len(rows)))
+        found.append(sorted(map(str, out)))
+    assert all(f == found[0] for f in found)
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(WORDS[5:25])), (2, "TWO words"), (3, None), (1, " ".join(WORDS[5:25])), (4, "")], "item_id long, text string")
     got = collections.defaultdict(list)
