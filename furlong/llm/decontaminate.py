@@ -2,9 +2,10 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A window is ``width`` consecutive
 words of a benchmark item; an item of fewer words, but not none, is one window. The training texts' term frequencies tell
-which three words of each window are the rarest; postings (document, position) are stored for those terms alone, adjusted
-by the word's offset in the item, and intersected: a document, item and shift with all of a window's rare terms is
-compared word by word. So frequent terms never have their lists read, and no window that occurs is missed.
+which three words of each window are the rarest; postings (term, document, position) are written once to the shared folder
+for those terms alone, adjusted by the word's offset in the item, and intersected: a document, item and shift with as many
+rare terms as a window has is compared word by word. So frequent terms have no lists, and no window that occurs is missed.
+The index is of one benchmark's rare terms and one run; ``prepared`` makes it, ``matches`` and ``proximity`` read it.
 
 Cases: a NULL text has no words and is neither hit nor contaminated. Repeated items count once for each item_id; items
 without words are never found. Rows with the same id but other texts are kept apart; a NULL id is a key of its own.
@@ -37,7 +38,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _anchors(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(item, at, term): the rarest terms of each window of each item, by their frequency in the texts."""
+    """(item, s, at, term): the rarest terms of each window (from s) of each item, by their frequency in the texts."""
     each = items.select("item", "n", F.posexplode("w").alias("at", "term"))
     terms = _bounded(each.select("term").distinct())
     counted = texts.select(F.explode(words(F.col("_t"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df"))
@@ -45,13 +46,13 @@ def _anchors(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
     inside = each.join(windows, "item").filter((F.col("at") >= F.col("s")) & (F.col("at") < F.col("s") + width))
     rare = Window.partitionBy("item", "s").orderBy(F.coalesce("df", F.lit(0)), "at")
     chosen = inside.join(counted, "term", "left").withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= RAREST)
-    return common.cut(chosen.select("item", "at", "term").distinct())
+    return common.cut(chosen.select("item", "s", "at", "term").distinct())
 
 
 def _postings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(document, item, shift, at): where an anchor's term stands, as the shift of the item against the document."""
+    """(term, document, position) of the anchors' terms, written to the shared folder."""
     tokens = texts.select("_k", "_h", F.posexplode(words(F.col("_t"))).alias("p", "term"))
-    return tokens.join(_bounded(anchors), "term").select("_k", "_h", "item", (F.col("p") - F.col("at")).alias("shift"), "at")
+    return common.cut(tokens.join(_bounded(anchors.select("term").distinct()), "term").select("term", "_k", "_h", "p"))
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -59,11 +60,23 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return common.cut(split.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "w", F.size("w").alias("n")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(_k, _h, item_id, places): the document's key, and the word positions that the item's windows cover there."""
+def prepared(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items, their anchors and the index: may be handed to several of the functions below."""
     texts, items = _keyed(docs, doc_id, text), _items(benchmark, item_id, text)
     anchors = _anchors(texts, items, width)
-    shifts = _postings(texts, anchors).groupBy("_k", "_h", "item", "shift").agg(F.countDistinct("at").alias("c"))
+    return items, anchors, _postings(texts, anchors)
+
+
+def _shifted(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The postings with what the anchors have besides their term, and the shift of the item against the document."""
+    return index.join(_bounded(anchors), "term").withColumn("shift", F.col("p") - F.col("at")).drop("term", "p")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(_k, _h, item_id, places): the document's key, and the word positions that the item's windows cover there."""
+    texts = _keyed(docs, doc_id, text)
+    items, anchors, postings = index or prepared(docs, benchmark, doc_id, item_id, text, width)
+    shifts = _shifted(postings, anchors.select("item", "at", "term").distinct()).groupBy("_k", "_h", "item", "shift").agg(F.countDistinct("at").alias("c"))
     aligned = common.cut(shifts.join(F.broadcast(items.select("item", "n")) if items.count() <= BROADCAST_ROWS else items.select("item", "n"), "item").filter(F.col("c") >= F.least(F.lit(RAREST), F.col("n"))).select("_k", "_h", "item", "shift"))
     wanted = aligned.groupBy("_k", "_h").agg(F.collect_list(F.struct("item", "shift")).alias("to"))
     found = texts.join(_bounded(wanted), ["_k", "_h"]).dropDuplicates(["_k", "_h"]).select("_k", "_h", words(F.col("_t")).alias("d"), "to")
@@ -78,13 +91,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_
     return pairs.select("_k", "_h", "item_id", places.alias("places"))
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, slack: int = 3) -> DataFrame:
-    """(doc_id, item_id, shift, terms): all rare terms of some window within ``slack`` words of their places in the item."""
-    texts, items = _keyed(docs, doc_id, text), _items(benchmark, item_id, text)
-    lists = _postings(texts, _anchors(texts, items, width))
-    near = lists.select("_k", "_h", "item", "at", "shift", F.explode(F.array(F.floor(F.col("shift") / (slack + 1)), F.floor(F.col("shift") / (slack + 1)) + 1)).alias("cell"))
-    close = near.groupBy("_k", "_h", "item", "cell").agg(F.countDistinct("at").alias("terms"), F.min("shift").alias("shift"))
-    enough = close.join(items.select("item", "item_id", "n"), "item").filter(F.col("terms") >= F.least(F.lit(RAREST), F.col("n")))
+def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, slack: int = 3, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(doc_id, item_id, shift, terms): all rare terms of some window, their shifts at most ``slack`` words apart."""
+    items, anchors, postings = index or prepared(docs, benchmark, doc_id, item_id, text, width)
+    ahead = Window.partitionBy("_k", "_h", "item", "s").orderBy("shift").rangeBetween(0, slack)
+    close = _shifted(postings, anchors).withColumn("terms", F.size(F.collect_set("at").over(ahead)))
+    wanted = anchors.groupBy("item", "s").agg(F.count("*").alias("of"))
+    enough = close.join(_bounded(wanted), ["item", "s"]).filter("terms = of").join(_bounded(items.select("item", "item_id")), "item")
     best = enough.groupBy("_k", "_h", "item_id").agg(F.max("terms").alias("terms"), F.min("shift").alias("shift"))
     return best.select(F.when(F.col("_k") != -(1 << 63), F.col("_k")).alias("doc_id"), "item_id", "shift", "terms")
 

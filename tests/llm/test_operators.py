@@ -219,6 +219,20 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.proximity(docs, bench).filter("doc_id = 1").count() == 1
 
 
+def test_proximity_is_within_slack_and_one_window(spark):
+    short, long = [f"i{i}" for i in range(13)], [f"j{i}" for i in range(26)]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    common = " ".join([*short[3:], *(w for i, w in enumerate(long) if i not in (0, 12, 25))])
+    at = lambda **places: " ".join({p: w for w, p in places.items()}.get(p, "f") for p in range(40))
+    # Shifts of 0, 4 and 7; of 0, 1 and 3; three rare terms of which no window has all.
+    texts = [(1, at(i0=0, i1=5, i2=9)), (2, at(i0=0, i1=2, i2=5)), (3, at(j0=0, j12=12, j25=25)), *((10 + i, common) for i in range(5))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = decontaminate.prepared(docs, bench) if hasattr(decontaminate, "prepared") else None
+    found = decontaminate.proximity(docs, bench, **({"index": index} if index else {}))
+    assert [(r.doc_id, r.item_id, r.shift, r.terms) for r in found.filter("doc_id < 10").collect()] == [(2, 1, 0, 3)]
+    assert decontaminate.matches(docs, bench, **({"index": index} if index else {})).count() == 0
+
+
 def test_fingerprint(spark, docs, none):
     df = fingerprint.sketch(docs)
     a, b = (F.lit(x) for x in ([1, 2, 3], [2, 3, 4]))
