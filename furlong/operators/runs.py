@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,16 @@ def early_stop_point(curves: DataFrame, run: str, epoch: str, loss: str, patienc
     return curves.groupBy(run).agg(F.aggregate(points, start, step).alias("s")).select(run, "s.best_epoch", "s.last_epoch")
 
 
-def overfit_verdict(curves: DataFrame, run: str = "model_run_id") -> DataFrame:
-    """severe, mild or ok for each run: the AUC gap at the epoch of least loss (the first of equal ones), and how the loss ends."""
-    one = curves.groupBy(run).agg(
-        F.min(F.struct("val_loss", "epoch", "train_auc", "val_auc")).alias("b"), F.max(F.struct("epoch", "val_loss")).alias("l"), F.count("*").alias("n_epochs")
-    )
-    gap, grown = F.col("b.train_auc") - F.col("b.val_auc"), F.col("l.val_loss") > F.col("b.val_loss") * LOSS_GROWTH
+def overfit_verdict(curves: DataFrame, run: str = "model_run_id", patience: int = 12, least: float = 1e-4) -> DataFrame:
+    """severe, mild or ok for each run: the AUC gap at the epoch that early stopping keeps, and how the last loss compares
+    with the least one of all."""
+    kept = early_stop_point(curves, run, "epoch", "val_loss", patience, least)
+    at = F.filter("points", lambda p: p.epoch == F.col("best_epoch"))
+    points = curves.groupBy(run).agg(F.collect_list(F.struct("epoch", "train_auc", "val_auc")).alias("points"), F.min("val_loss").alias("least_loss"), F.max_by("val_loss", "epoch").alias("last_loss"), F.count("*").alias("n_epochs"))
+    one = points.join(kept.select(run, "best_epoch"), run).withColumn("b", F.get(at, F.lit(0)))
+    gap, grown = F.col("b.train_auc") - F.col("b.val_auc"), F.col("last_loss") > F.col("least_loss") * LOSS_GROWTH
     verdict = F.when((gap >= SEVERE_GAP) | grown, "severe").when(gap >= MILD_GAP, "mild").otherwise("ok")
-    return one.select(run, F.col("b.epoch").alias("best_epoch"), F.col("b.train_auc").alias("train_auc"), gap.alias("gap"), "n_epochs", verdict.alias("verdict"))
+    return one.select(run, "best_epoch", F.col("b.train_auc").alias("train_auc"), gap.alias("gap"), "n_epochs", verdict.alias("verdict"))
 
 
 def _step(value: Column, grid: list, by: int) -> Column:
@@ -91,14 +95,30 @@ def delete_model(tables: dict[str, DataFrame], model_ids: list[str], column: str
     return {name: t.filter(~matches(F.col(column), model_ids)) if column in t.columns else t for name, t in tables.items()}
 
 
-def deleted_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Of each table that lost rows: how many."""
-    found = None
-    for name in before:
-        both = before[name].select(F.lit(1).alias("k")).unionAll(after[name].select(F.lit(-1).alias("k")))
-        one = both.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("deleted")).filter("deleted > 0").select(F.lit(name).alias("table_name"), "deleted")
-        found = one if found is None else found.unionByName(one)
-    return found
+def deleted_run_counts(tables: dict[str, DataFrame], ledger: DataFrame, run_ids: list[str], columns: tuple[str, ...] = ("run_id", "collection_run_id", "source_run_id")) -> DataFrame:
+    """Of each table that ``delete_run`` takes rows from: how many. Each table is read once."""
+    races = ledger.filter(matches(F.col("run_id"), run_ids, prefix=True) & F.col("race_id").isNotNull()).select("race_id").distinct().withColumn("_gone", F.lit(True))
+    found = []
+    for name, t in tables.items():
+        own = t.join(races, "race_id", "left") if "race_id" in t.columns else t.withColumn("_gone", F.lit(False))
+        gone = F.coalesce("_gone", F.lit(False))
+        for c in columns:
+            gone = gone | matches(F.col(c), run_ids, prefix=True) if c in t.columns else gone
+        found.append(_count(own, name, gone))
+    return _counts(found)
+
+
+def deleted_model_counts(tables: dict[str, DataFrame], model_ids: list[str], column: str = "model_run_id") -> DataFrame:
+    """Of each table that ``delete_model`` takes rows from: how many."""
+    return _counts([_count(t, name, matches(F.col(column), model_ids) if column in t.columns else F.lit(False)) for name, t in tables.items()])
+
+
+def _count(t: DataFrame, name: str, gone: Column) -> DataFrame:
+    return t.agg(F.count_if(gone).alias("deleted")).filter("deleted > 0").select(F.lit(name).alias("table_name"), "deleted")
+
+
+def _counts(found: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def run_counters(rows: DataFrame, run: str) -> DataFrame:
@@ -122,3 +142,17 @@ test_period_flag.__test__ = False
 def runs_by_source(ledger: DataFrame, sources: list[str]) -> DataFrame:
     """The ids of runs whose data came from one of the sources."""
     return ledger.filter(F.col("source").isin(sources)).select("run_id").distinct()
+
+
+def delete_by_source(tables: dict[str, DataFrame], ledger: DataFrame, sources: list[str], columns: tuple[str, ...] = ("run_id", "collection_run_id", "source_run_id")) -> dict[str, DataFrame]:
+    """The tables without what any run of these sources brought, all runs in one pass: rows that carry such a run's id in one
+    of the columns, and rows of races that the ledger's entries (run_id, race_id) of such runs name. Ids match exactly."""
+    gone = runs_by_source(ledger, sources)
+    races = ledger.join(gone, "run_id", "left_semi").filter(F.col("race_id").isNotNull()).select("race_id").distinct()
+    out = {}
+    for name, t in tables.items():
+        left = t.join(races, "race_id", "left_anti") if "race_id" in t.columns else t
+        for c in columns:
+            left = left.join(gone.withColumnRenamed("run_id", c), c, "left_anti") if c in t.columns else left
+        out[name] = left.select(*t.columns)
+    return out

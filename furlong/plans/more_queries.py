@@ -21,12 +21,18 @@ def _curves(spark, sf_dir):
     )
 
 
-_VERDICT = f"""{_CURVES}, v AS (SELECT model_run_id, b.epoch AS best_epoch, b.train_auc AS train_auc, b.train_auc - b.val_auc AS gap, n_epochs,
-  CASE WHEN b.train_auc - b.val_auc >= 0.15::DOUBLE OR last_loss > b.val_loss * 1.15::DOUBLE THEN 'severe' WHEN b.train_auc - b.val_auc >= 0.08::DOUBLE THEN 'mild' ELSE 'ok' END AS verdict
-  FROM (SELECT model_run_id, min({{'val_loss': val_loss, 'epoch': epoch, 'train_auc': train_auc, 'val_auc': val_auc}}) AS b, arg_max(val_loss, epoch) AS last_loss, count(*) AS n_epochs FROM c GROUP BY 1))"""
+_FOLD = f"""{_CURVES}, walk AS (
+  SELECT model_run_id, epoch, val_loss AS best, epoch AS best_epoch, 0 AS misses FROM c WHERE epoch = 1
+  UNION ALL SELECT c.model_run_id, c.epoch, CASE WHEN c.val_loss < best - 1e-4::DOUBLE THEN c.val_loss ELSE best END, CASE WHEN c.val_loss < best - 1e-4::DOUBLE THEN c.epoch ELSE best_epoch END,
+    CASE WHEN c.val_loss < best - 1e-4::DOUBLE THEN 0 ELSE misses + 1 END FROM walk JOIN c ON c.model_run_id = walk.model_run_id AND c.epoch = walk.epoch + 1 WHERE misses < {{patience}}),
+kept AS (SELECT model_run_id, arg_max(best_epoch, epoch) AS best_epoch, max(epoch) AS last_epoch FROM walk GROUP BY 1)"""
+_VERDICT = f"""{_FOLD.replace('{patience}', '12')}, v AS (SELECT model_run_id, best_epoch, b.train_auc AS train_auc, b.train_auc - b.val_auc AS gap, n_epochs,
+  CASE WHEN b.train_auc - b.val_auc >= 0.15::DOUBLE OR last_loss > least_loss * 1.15::DOUBLE THEN 'severe' WHEN b.train_auc - b.val_auc >= 0.08::DOUBLE THEN 'mild' ELSE 'ok' END AS verdict
+  FROM (SELECT model_run_id, min(val_loss) AS least_loss, arg_max(val_loss, epoch) AS last_loss, count(*) AS n_epochs FROM c GROUP BY 1) JOIN kept USING (model_run_id)
+  JOIN (SELECT model_run_id, epoch, train_auc, val_auc FROM c) AS b ON b.model_run_id = kept.model_run_id AND b.epoch = best_epoch)"""
 
 
-@_register(f"{_VERDICT} SELECT * FROM v")
+@_register(f"{_VERDICT} SELECT * FROM v", recursive=True)
 def overfit_verdict(spark, sf_dir):
     return runs.overfit_verdict(_curves(spark, sf_dir))
 
@@ -40,7 +46,7 @@ SELECT model_run_id, CAST([32, 64, 128, 256][CAST(CASE WHEN weak THEN least(a +
   [0.0001::DOUBLE, 0.0003::DOUBLE, 0.001::DOUBLE, 0.003::DOUBLE][CAST(CASE WHEN best_epoch <= 3 THEN greatest(k - 1, 0) ELSE k END AS INTEGER) + 1] AS next_learning_rate,
   CAST(CASE WHEN rising THEN 24 ELSE 4 END AS INTEGER) AS next_epochs,
   coalesce(nullif(concat_ws(',', CASE verdict WHEN 'severe' THEN 'severe_overfit' WHEN 'mild' THEN 'mild_overfit' END, CASE WHEN weak THEN 'weak_training' END,
-    CASE WHEN best_epoch <= 3 THEN 'early_best' END, CASE WHEN rising THEN 'still_improving' END), ''), 'keep') AS reasons FROM t""")
+    CASE WHEN best_epoch <= 3 THEN 'early_best' END, CASE WHEN rising THEN 'still_improving' END), ''), 'keep') AS reasons FROM t""", recursive=True)
 def tuning_advice(spark, sf_dir):
     k = F.col("model_run_id").cast("long")
     own = runs.overfit_verdict(_curves(spark, sf_dir)).withColumns({
@@ -50,11 +56,7 @@ def tuning_advice(spark, sf_dir):
     return runs.tuning_advice(own).select("model_run_id", "next_hidden_size", "next_dropout", "next_patience", "next_learning_rate", "next_epochs", "reasons")
 
 
-@_register(f"""{_CURVES}, walk AS (
-  SELECT model_run_id, epoch, val_loss AS best, epoch AS best_epoch, 0 AS misses FROM c WHERE epoch = 1
-  UNION ALL SELECT c.model_run_id, c.epoch, CASE WHEN c.val_loss < best - 1e-4::DOUBLE THEN c.val_loss ELSE best END, CASE WHEN c.val_loss < best - 1e-4::DOUBLE THEN c.epoch ELSE best_epoch END,
-    CASE WHEN c.val_loss < best - 1e-4::DOUBLE THEN 0 ELSE misses + 1 END FROM walk JOIN c ON c.model_run_id = walk.model_run_id AND c.epoch = walk.epoch + 1 WHERE misses < 2)
-SELECT model_run_id, arg_max(best_epoch, epoch) AS best_epoch, max(epoch) AS last_epoch FROM walk GROUP BY 1""", recursive=True)
+@_register(f"{_FOLD.replace('{patience}', '2')} SELECT * FROM kept", recursive=True)
 def early_stop_point(spark, sf_dir):
     return runs.early_stop_point(_curves(spark, sf_dir), "model_run_id", "epoch", "val_loss", 2)
 
@@ -91,7 +93,7 @@ def delete_run_cascade(spark, sf_dir):
     r = records(spark, sf_dir)
     ledger = r.select(F.concat(F.lit("run_"), "jockey_id").alias("run_id"), "race_id")
     tables = {"races": r.select("race_id", "horse_id"), "riders": ledger.select("run_id")}
-    return runs.deleted_counts(tables, runs.delete_run(tables, ledger, ["run_1"]))
+    return runs.deleted_run_counts(tables, ledger, ["run_1"])
 
 
 @_register(""", b AS (SELECT 'models' AS table_name, count(DISTINCT jockey_id) AS deleted FROM r WHERE jockey_id = '1'
@@ -99,7 +101,7 @@ def delete_run_cascade(spark, sf_dir):
 def delete_model_cascade(spark, sf_dir):
     predictions = records(spark, sf_dir).select(F.col("jockey_id").alias("model_run_id"), "race_id", "horse_id")
     tables = {"models": predictions.select("model_run_id").filter("model_run_id IS NOT NULL").distinct(), "predictions": predictions, "races": predictions.select("race_id")}
-    return runs.deleted_counts(tables, runs.delete_model(tables, ["1"]))
+    return runs.deleted_model_counts(tables, ["1"])
 
 
 @_register("SELECT race_id, horse_id, horse_number, jockey_id FROM r QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY race_date DESC, horse_number DESC) = 1")
@@ -233,10 +235,10 @@ def fn_safe_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", parse.safe_name(text).alias("x"))
 
 
-@_register("SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN ['牡', '牝', '騸'][p_partkey % 4 + 1] END AS sex, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey % 9 AS INTEGER) END AS age FROM part", False)
+@_register("SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN ['牡', '牝', 'セ'][p_partkey % 4 + 1] END AS sex, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey % 9 AS INTEGER) END AS age FROM part", False)
 def fn_sex_age(spark, sf_dir):
     k = F.col("p_partkey")
-    text = F.concat(F.get(F.array(*map(F.lit, ["牡", "牝", "セ", "x"])), (k % 4).cast("int")), (k % 9).cast("string"))
+    text = F.concat(F.get(F.array(*map(F.lit, ["牡 ", "牝", "騙\u3000", "x"])), (k % 4).cast("int")), (k % 9).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", *parse.sex_age(text))
 
 

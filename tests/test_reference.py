@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.functions import parse
-from furlong.operators import history, maintenance, modeling
+from furlong.operators import history, maintenance, modeling, runs
 from furlong.plans.queries import ORACLE_SQL, QUERIES
 from furlong.sources.records import conform
 
@@ -76,6 +76,36 @@ def test_conform_and_parse(spark):
     assert tuple(t.select(parse.time_to_seconds(F.col("t")), *parse.body_weight(F.col("w")), parse.to_float(F.col("f"))).first()) == (pytest.approx(119.8), 480.0, 4.0, 1234.5)
 
 
+def test_parse_edges(spark):
+    """White space, units, full-width digits, both signs of a gelding, and what doesn't parse."""
+    cases = [
+        ("　 1 ", " 1:59.8　", "480 (+4)", "牡 4"), ("12同", "12:100.25", " 480kg", "騙　3"), ("４", "1:5", "体重 500( -2 )", "セ10歳"),
+        ("中止", "59.8", "計不", "馬3"), (None, None, None, None), ("", "1:59.8x", "(+4)", "牝"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, f string, t string, w string, s string").orderBy("i")
+    c = F.col
+    got = [tuple(r) for r in df.select(parse.finish_position(c("f")), F.round(parse.time_to_seconds(c("t")), 6), *parse.body_weight(c("w")), *parse.sex_age(c("s"))).collect()]
+    assert got == [
+        (1, 119.8, 480.0, 4.0, "牡", 4), (12, 820.25, 480.0, None, "セ", 3), (4, 65.0, 500.0, None, "セ", 10),
+        (None, None, None, None, None, None), (None,) * 6, (None, None, 4.0, None, None, None),
+    ]
+
+
+def test_verdict_is_taken_at_the_epoch_that_stopping_keeps(spark):
+    """Losses that fall by less than a ten-thousandth don't move the best epoch; the last loss is compared with the least."""
+    rows = [("a", e, 0.7 + e / 100, 0.7, 0.5 - e * 5e-5) for e in range(1, 4)] + [("b", 1, 0.9, 0.75, 0.5), ("b", 2, 0.6, 0.6, 0.3), ("b", 3, 0.9, 0.6, 0.4)]
+    got = {r.model_run_id: r for r in runs.overfit_verdict(spark.createDataFrame(rows, "model_run_id string, epoch int, train_auc double, val_auc double, val_loss double")).collect()}
+    assert (got["a"].best_epoch, round(got["a"].gap, 6), got["a"].verdict) == (1, 0.01, "ok")
+    assert (got["b"].best_epoch, got["b"].gap, got["b"].verdict) == (2, 0.0, "severe")
+
+
+def test_delete_by_source(spark):
+    ledger = spark.createDataFrame([("r1", "x", "1"), ("r2", "y", "2"), (None, "x", "3")], "run_id string, source string, race_id string")
+    rows = spark.createDataFrame([("1", "r9"), ("2", "r9"), ("3", "r9"), (None, "r1"), ("4", None)], "race_id string, collection_run_id string")
+    left = runs.delete_by_source({"races": rows, "other": rows.select(F.lit(1).alias("k"))}, ledger, ["x"])
+    assert sorted(map(str, left["races"].collect())) == sorted(map(str, rows.filter("race_id IN ('2', '3', '4')").collect())) and left["other"].count() == 5
+
+
 def test_split_counts_dates_as_doubles(spark):
     df = spark.range(90).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("race_date"))
     assert {r.split: r["count"] for r in modeling.chronological_split(df).groupBy("split").count().collect()}["train"] == 62
