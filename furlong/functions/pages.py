@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def extract_ids(html: Column, year: Column) -> Column:
     """The distinct 12-digit race ids of a year, sorted: course 01 to 10, race 01 to 12."""
-    found = F.array_distinct(F.regexp_extract_all(html, F.lit("(?<![0-9])[0-9]{12}(?![0-9])"), F.lit(0)))
+    found = F.array_union(F.regexp_extract_all(html, F.lit("(?<![0-9])[0-9]{12}(?![0-9])"), F.lit(0)), F.regexp_extract_all(html, F.lit("race_id[=/]([0-9]{12})"), F.lit(1)))
     fits = lambda x: (F.substring(x, 1, 4) == year) & F.substring(x, 5, 2).between("01", "10") & F.substring(x, 11, 2).between("01", "12")
     return F.array_sort(F.filter(found, fits))
 

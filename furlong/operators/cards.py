@@ -37,9 +37,10 @@ def attach_latest(rows: DataFrame, dimension: DataFrame, key: str, *order: Colum
     return rows.join(one, key, "left")
 
 
-def race_runners(rows: DataFrame, race_ids: list[str]) -> DataFrame:
-    """The runners of races, by finish and number, missing ones last."""
-    return rows.filter(F.col("race_id").isin(race_ids)).orderBy("race_id", F.asc_nulls_last("finish_position"), F.asc_nulls_last("horse_number"))
+def race_runners(rows: DataFrame, race_ids: list[str] | None = None) -> DataFrame:
+    """The runners of races (all without ids), by finish and number, missing ones last."""
+    some = rows if race_ids is None else rows.filter(F.col("race_id").isin(race_ids))
+    return some.orderBy("race_id", F.asc_nulls_last("finish_position"), F.asc_nulls_last("horse_number"))
 
 
 def prediction_vs_actual(predicted: DataFrame, actual: DataFrame) -> DataFrame:

@@ -39,10 +39,13 @@ def training_frame(df: DataFrame) -> DataFrame:
 
 
 def prediction_frame(history: DataFrame, upcoming: DataFrame, strict: bool = True) -> DataFrame:
-    """Features of the upcoming rows. strict: past rows of a race that is also upcoming aren't history of it."""
+    """Features of the upcoming rows. strict: past rows of a race that is also upcoming aren't history of it. Only the history
+    of runners that are upcoming is sorted."""
     if strict:
         history = history.join(upcoming.select("race_id").distinct(), "race_id", "left_anti")
-    both = history.withColumn("_u", F.lit(0)).unionByName(upcoming.withColumns({"_u": F.lit(1), "finish_position": F.lit(None).cast("double")}), allowMissingColumns=True)
+    runners = upcoming.select(entity().alias("_k")).distinct()
+    own = history.withColumn("_k", entity()).join(runners, "_k", "left_semi").drop("_k")
+    both = own.withColumn("_u", F.lit(0)).unionByName(upcoming.withColumns({"_u": F.lit(1), "finish_position": F.lit(None).cast("double")}), allowMissingColumns=True)
     return historical_features(both).filter("_u = 1").drop("_u")
 
 
@@ -75,12 +78,15 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("predicted_rank", F.row_number().over(order))
 
 
+def compared(rows: DataFrame) -> DataFrame:
+    """Ranked rows beside their outcome: predicted_top3, actual_top3 and top3_hit, none of them NULL."""
+    rows = rows.withColumns({"predicted_top3": F.col("predicted_rank") <= 3, "actual_top3": F.coalesce(F.col("finish_position") <= 3, F.lit(False))})
+    return rows.withColumn("top3_hit", F.col("predicted_top3") & F.col("actual_top3"))
+
+
 def backtest_rows(df: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
     """Every race scored with what was known the day before, against its outcome."""
-    hit = lambda c: F.coalesce(c, F.lit(False))
-    rows = ranked(scored(asof_features(df), weights, bias))
-    rows = rows.withColumns({"predicted_top3": F.col("predicted_rank") <= 3, "actual_top3": hit(F.col("finish_position") <= 3)})
-    return rows.withColumn("top3_hit", F.col("predicted_top3") & F.col("actual_top3"))
+    return compared(ranked(scored(asof_features(df), weights, bias)))
 
 
 def backtest_summary(rows: DataFrame) -> DataFrame:

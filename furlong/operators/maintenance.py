@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ def upsert_records(existing: DataFrame, incoming: DataFrame, run_id: str, datase
     stamped = incoming.withColumns({"dataset_type": F.lit(dataset_type), "collection_run_id": F.lit(run_id)})
     key = lambda d: d.withColumn("_h", F.coalesce("horse_id", F.lit("")))
     keys = key(stamped).select("race_id", "_h", "dataset_type").distinct()
-    return key(existing).join(keys, ["race_id", "_h", "dataset_type"], "left_anti").drop("_h").unionByName(stamped, allowMissingColumns=True)
+    kept = key(existing).join(keys, ["race_id", "_h", "dataset_type"], "left_anti").select(*existing.columns)
+    return kept.unionByName(stamped, allowMissingColumns=True)
 
 
 def upsert_ledger(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -21,11 +24,14 @@ def upsert_ledger(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def matches(column: Column, values: list[str], prefix: bool = False) -> Column:
-    """Equal to one of the values as text, or beginning with one (literally; no wildcard)."""
-    text, found = column.cast("string"), F.lit(False)
-    for v in values:
-        found = found | (text.startswith(v) if prefix else text == v)
-    return F.coalesce(found, F.lit(False))
+    """Equal to one of the values as text, or beginning with one (literally; no wildcard). One expression, however many values:
+    equality is a set; a prefix is looked up by each length that there is."""
+    text = column.cast("string")
+    if not values:
+        return F.lit(False)
+    lengths = sorted({len(v) for v in values}) if prefix else [None]
+    same = [(text if n is None else F.substring(text, 1, n)).isin([v for v in values if n is None or len(v) == n]) for n in lengths]
+    return F.coalesce(functools.reduce(lambda a, b: a | b, same), F.lit(False))
 
 
 def delete_rows(tables: dict[str, DataFrame], column: str, values: list[str], prefix: bool = False) -> tuple[dict[str, DataFrame], DataFrame | None]:

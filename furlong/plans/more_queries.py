@@ -137,9 +137,9 @@ def attach_dimension_latest(spark, sf_dir):
     return cards.attach_latest(r.select("race_id", "horse_id"), own, "horse_id", F.asc("race_date"), F.asc("_race"), F.asc("horse_number")).select("race_id", "horse_id", "first_rider")
 
 
-@_register("SELECT race_id, horse_id, horse_number, finish_position FROM r WHERE race_id IN ('1', '2', '3')")
+@_register("SELECT race_id, horse_id, horse_number, finish_position FROM r")
 def race_runners(spark, sf_dir):
-    return cards.race_runners(records(spark, sf_dir), ["1", "2", "3"]).select("race_id", "horse_id", "horse_number", "finish_position")
+    return cards.race_runners(records(spark, sf_dir)).select("race_id", "horse_id", "horse_number", "finish_position")
 
 
 @_register("SELECT race_id, horse_id, horse_number, finish_position AS actual_finish FROM r")
@@ -157,66 +157,11 @@ def onehot_long(spark, sf_dir):
     return cards.onehot_long(s.filter("split = 'test'"), "jockey_id", counts).select("race_id", "horse_id", "category")
 
 
-_IDS = "(SELECT o_orderkey, 'a=2024' || lpad(CAST(o_orderkey % 12 AS VARCHAR), 2, '0') || '0102' || lpad(CAST(o_orderkey % 15 AS VARCHAR), 2, '0') || '&b=2023050102' || '07' || ' 2024010203040506' AS t FROM orders)"
-
-
-@_register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 12 BETWEEN 1 AND 10 AND o_orderkey % 15 BETWEEN 1 AND 12 THEN regexp_extract(t, 'a=([0-9]*)', 1) ELSE '' END AS ids FROM {_IDS}""", False)
-def extract_ids(spark, sf_dir):
-    k = F.col("o_orderkey")
-    two = lambda n: F.lpad((k % n).cast("string"), 2, "0")
-    text = F.concat(F.lit("a=2024"), two(12), F.lit("0102"), two(15), F.lit("&b=202305010207 2024010203040506"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(pages.extract_ids(text, F.lit("2024")), ",").alias("ids"))
-
-
 @_register("SELECT page_id, regexp_replace(html, '(?i)(<meta\\b[^>]*\\bcharset\\s*=\\s*[\"'']?)[^\"''\\s/>;]+', '\\1UTF-8', 'g') AS html FROM pages", False)
 def normalise_charset(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.normalise_charset(F.col("html")).alias("html"))
 
 
-@_register("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'g' || (o_orderkey % 7) END AS current_group FROM orders", False)
-def extract_group_attr(spark, sf_dir):
-    k = F.col("o_orderkey")
-    date = F.when(k % 3 > 0, "20240101").otherwise("20240102")
-    text = F.concat(F.lit('<li date="20240101" group=" "><p group="x"><li group="g'), (k % 7).cast("string"), F.lit('" date="'), date, F.lit('"></li>'))
-    return table(spark, sf_dir, "orders").select("o_orderkey", pages.group_attribute(text, F.lit("20240101")).alias("current_group"))
-
-
-@_register("""SELECT page_id, 'https://a.org/' || page_id || ',' || url AS urls FROM pages WHERE regexp_matches(url, '^https?://[a-zA-Z0-9/._-]*[a-zA-Z0-9/_-]$')""", False)
-def extract_urls(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter(F.col("url").rlike("^https?://[a-zA-Z0-9/._-]*[a-zA-Z0-9/_-]$"))
-    own = F.concat(F.lit("https://a.org/"), F.col("page_id").cast("string"))
-    return p.select("page_id", F.array_join(pages.urls(F.concat(F.lit("see "), own, F.lit("). "), F.col("url"), F.lit("; "), own)), ",").alias("urls"))
-
-
-_HEAD = "[['rank','Name','jockey','no'], ['no','Name','jockey','odds'], ['date','price'], ['Name','rank']]"
-
-
-def _tables(spark, sf_dir):
-    k = F.col("p_partkey")
-    heads = [["ra nk", "Na\u3000me", "jockey", "no"], ["no", "Name", "jockey", "odds"], ["date", "price"], ["Name", "rank"]]
-    header = F.get(F.array(*(F.array(*map(F.lit, h)) for h in heads)), (k % 4).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", pages.normalise_headers(header).alias("header"), (k % 9).alias("n_rows"), (k % 5 > 0).alias("past"))
-
-
-@_register("""SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 2 THEN 0 WHEN 3 THEN 4 ELSE 8 END + CASE WHEN (p_partkey % 5 > 0) = (p_partkey % 4 IN (0, 3)) THEN CASE WHEN p_partkey % 5 > 0 THEN 5 ELSE 1 END ELSE 0 END
-  + CASE WHEN p_partkey % 9 >= 5 THEN 1 ELSE 0 END AS INTEGER) AS score FROM part""", False)
-def best_table_score(spark, sf_dir):
-    parts = {"name": "Name", "jockey": "jockey", "number": "no", "finish": "rank"}
-    return _tables(spark, sf_dir).select("p_partkey", pages.table_score(F.col("header"), F.col("n_rows"), parts, F.col("past")).cast("int").alias("score"))
-
-
-@_register("SELECT p_partkey, CAST([1, 1, NULL, 0][p_partkey % 4 + 1] AS INTEGER) AS name_at, CAST([0, 9, 9, 1][p_partkey % 4 + 1] AS INTEGER) AS finish_at FROM part", False)
-def header_map(spark, sf_dir):
-    h = F.col("header")
-    return _tables(spark, sf_dir).select("p_partkey", pages.heading_index(h, ["horse", "Name"]).alias("name_at"), pages.heading_index(h, ["rank"], 9).alias("finish_at"))
-
-
-@_register("SELECT p_partkey, 'column_0|b' || (p_partkey % 3) || '|column_2' AS header FROM part", False)
-def normalise_headers(spark, sf_dir):
-    header = F.array(F.lit(" \u3000"), F.concat(F.lit("b\u3000 "), (F.col("p_partkey") % 3).cast("string")), F.lit("Unnamed: 2"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(pages.normalise_headers(header), "|").alias("header"))
-
-
 @_register("SELECT race_id, horse_id, race_id || '_' || surface || '_' || strftime(race_date, '%Y%m%d') || '_R' || lpad(CAST(horse_number AS VARCHAR), 2, '0') || '_' || horse_name AS page_name FROM r")
 def fn_page_name(spark, sf_dir):
     r = records(spark, sf_dir)
@@ -242,12 +187,6 @@ def fn_sex_age(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *parse.sex_age(text))
 
 
-@_register("SELECT page_id, unnest(string_split('a/' || page_id || ';b', ';')) AS path FROM pages", False)
-def split_paths(spark, sf_dir):
-    text = F.concat(F.lit(" a/"), F.col("page_id").cast("string"), F.lit("; ;b ;"))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(pages.split_paths(text)).alias("path"))
-
-
 def _ledger(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"))
 

@@ -140,9 +140,10 @@ def record_summary(spark, sf_dir):
 
 @_register("""SELECT count(*) FILTER (WHERE dataset_type = 'historical') AS historical_rows, count(*) FILTER (WHERE dataset_type <> 'historical') AS upcoming_rows,
   count(DISTINCT race_id) FILTER (WHERE dataset_type = 'historical') AS historical_races, count(DISTINCT race_id) FILTER (WHERE dataset_type <> 'historical') AS upcoming_races,
-  max(race_date) FILTER (WHERE dataset_type = 'historical') AS latest_date FROM r""")
+  count(DISTINCT race_id) AS races, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS model_count, max(race_date) FILTER (WHERE dataset_type = 'historical') AS latest_past_date, max(race_date) AS latest_date FROM r""")
 def dashboard_summary(spark, sf_dir):
-    return summary.dashboard_summary(records(spark, sf_dir))
+    models = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"))
+    return summary.dashboard_summary(records(spark, sf_dir), models)
 
 
 @_register("""SELECT column_name, missing, missing / n AS ratio FROM (
@@ -323,10 +324,4 @@ def latest_snapshot_per_user(spark, sf_dir):
     return latest_snapshot(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "value")
 
 
-@_register()
-def train_rounds(spark, sf_dir):
-    frame = modeling.chronological_split(history.training_frame(records(spark, sf_dir)))
-    return modeling.train(frame, history.FEATURES, "target_top3", modeling.TrainConfig(epochs=3, hidden_size=16))[1]
-
-
-from furlong.plans import more_queries  # noqa: E402, F401  (registers its own here)
+from furlong.plans import more_queries, page_queries, task_queries  # noqa: E402, F401  (they register their own here)

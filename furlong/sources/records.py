@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The columns of runner rows in order.
 TYPES = {
-    "race_id": "string", "race_date": "date", "horse_id": "string", "horse_name": "string", "jockey_id": "string", "surface": "string",
-    "horse_number": "int", "finish_position": "double", "odds": "double", "dataset_type": "string",
+    "race_id": "string", "race_date": "date", "course_name": "string", "race_number": "int", "race_name": "string", "surface": "string", "distance": "double", "weather": "string",
+    "track_condition": "string", "horse_id": "string", "horse_name": "string", "horse_number": "int", "frame_number": "int", "sex": "string", "age": "int", "carried_weight": "double",
+    "jockey_id": "string", "jockey_name": "string", "trainer_id": "string", "trainer_name": "string", "sire_id": "string", "sire_name": "string", "dam_id": "string", "dam_name": "string",
+    "damsire_id": "string", "damsire_name": "string", "odds": "double", "popularity": "double", "body_weight": "double", "body_weight_change": "double", "finish_position": "double",
+    "time_seconds": "double", "last_3f_time": "double", **{f"passing_position_{i}": "int" for i in range(1, 5)}, "dataset_type": "string", "collection_run_id": "string", "collected_at": "timestamp",
 }
+#: What models learn from.
+NUMERIC = [
+    "race_number", "distance", "horse_number", "frame_number", "age", "carried_weight", "odds", "popularity",
+    "prior_starts", "prior_win_rate", "prior_top3_rate", "prior_avg_finish", "prior_avg_odds", "days_since_last_race",
+]
+CATEGORICAL = ["course_name", "surface", "weather", "track_condition", "sex", "jockey_id", "trainer_id", "sire_id", "dam_id", "damsire_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +33,32 @@ def conform(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     return df.select(*(F.col(n).try_cast(t).alias(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in types.items()))
 
 
+def empty_records(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in TYPES.items()))
+
+
+def require(df: DataFrame, *names: str) -> DataFrame:
+    """df, or an error that names the columns it lacks."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def preferred(df: DataFrame, *names: str) -> DataFrame:
+    """Those of the columns that are there, in this order."""
+    return df.select(*(n for n in names if n in df.columns))
+
+
+def union_aligned(*frames: DataFrame) -> DataFrame:
+    """All rows, by column name. A column that a frame lacks, or has without a type, is NULL there and takes the others' type."""
+    types: dict[str, str] = {}
+    for df in frames:
+        for name, kind in df.dtypes:
+            types[name] = kind if types.get(name, "void") == "void" else types[name]
+    one = lambda df: df.select(*(F.col(n).cast(t).alias(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in types.items()))
+    return functools.reduce(DataFrame.unionByName, map(one, frames))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
@@ -30,10 +68,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").cast("bigint").alias("qty"),
         F.max("l_returnflag").alias("flag"),
     )
-    last = orders.agg(F.max(F.col("o_orderdate").cast("date"))).first()[0]
+    last = orders.select(F.max(F.col("o_orderdate").cast("date"))).scalar()
     race = Window.partitionBy("l_orderkey")
     day = F.col("o_orderdate").cast("date")
-    upcoming = (F.col("o_orderstatus") == "O") & (day >= F.date_sub(F.lit(last), 60))
+    upcoming = (F.col("o_orderstatus") == "O") & (day >= F.date_sub(last, 60))
     return runners.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").cast("string").alias("race_id"), day.alias("race_date"), F.col("l_partkey").cast("string").alias("horse_id"),
         F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("horse_name"), "jockey_id", F.col("o_orderpriority").alias("surface"),
