@@ -61,9 +61,11 @@ def pack(df: DataFrame, sort_by: str, block_bytes: int = BLOCK_BYTES) -> DataFra
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint of an adaptive plan forgets how its rows are partitioned
     try:
-        return common.cut(packed.repartition(common.parallelism(df.sparkSession), "block"))
+        out = common.cut(packed.repartition(common.parallelism(df.sparkSession), "block"))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
+    common.free(df.sparkSession)
+    return out
 
 
 def unpack(payload: bytes) -> pa.Table:
@@ -93,6 +95,13 @@ def answers(asked: DataFrame, reduce: Callable, schema: str = "block long, p int
     return asked.groupBy("p").applyInArrow(run, schema)
 
 
+def exchange(blocks: DataFrame, ask: Callable, parts: int, reduce: Callable, schema: str = "block long, p int, blob binary") -> DataFrame:
+    """What the reducers answered, in the shared folder; the lists that were sent for it are gone from disk."""
+    out = common.cut(answers(requests(blocks, ask, parts), reduce, schema))
+    common.free(blocks.sparkSession)
+    return out
+
+
 def delivered(blocks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     """The blocks with the column name: array<struct<p, blob>> of what was answered."""
     own = replies.groupBy("block").agg(F.collect_list(F.struct("p", "blob")).alias(name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that no frame can reach any more go from disk now, not when the driver next happens to
+    collect its garbage. Nothing that is still needed is touched."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32(doc_id as text) leaves that remainder; false for a NULL id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -290,11 +290,12 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = common.parallelism(df.sparkSession)
     blocks = blk.pack(docs, "doc_id")
-    counts = common.cut(blk.answers(blk.requests(blocks, _ask_counts(shingle), parts), _count(parts)))
+    counts = blk.exchange(blocks, _ask_counts(shingle), parts, _count(parts))
     tallies = [np.frombuffer(r.blob, "<i8") for r in counts.filter("block IS NULL").select("blob").collect()]
     histogram = {s: int(n) for s, n in enumerate(np.sum(tallies, 0) if tallies else []) if s and n}
     most = boundary(histogram, percent)
     profile = _profiles(blk.delivered(blocks, counts.filter("block IS NOT NULL"), "counts"), shingle, percent, most, parts)
+    del blocks, counts
     rows = profile.filter("key IS NULL").select("doc_id", "n", "sig", "bits")
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = common.cut(named.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
@@ -306,6 +307,8 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int
     in_list = Window.partitionBy("light", "key")
     lists = posted.withColumn("of", F.count("*").over(in_list)).filter("of > 1").drop("of")
     lists = common.cut(lists.join(nodes.select("sig", "node"), "sig").drop("sig"))
+    del dealt, posted
+    common.free(df.sparkSession)
 
     first = F.struct(F.when(F.col("light"), F.col("n")).alias("size"), "node", "n", "at")
     ranked = lists.withColumn("head", F.min(first).over(in_list)).filter("node <> head.node").withColumn("own", F.struct("node", "n", "at"))

@@ -275,12 +275,12 @@ def score(df: DataFrame, trains: Column, text: str = "text", doc_id: str = "doc_
     base = df.drop(*(f.name for f in outputs))
     parts = common.parallelism(df.sparkSession)
     blocks = blk.pack(base.withColumn("_trains", F.coalesce(trains, F.lit(False))), doc_id)
-    words = common.cut(blk.answers(blk.requests(blocks, _ask_words(text), parts), _count_words, _REPLY))
+    words = blk.exchange(blocks, _ask_words(text), parts, _count_words, _REPLY)
     total = _sums(words, GOOD_TURING + 3).get(0, np.zeros(GOOD_TURING + 3))
     unigrams = Unigrams(total[0], total[1], list(total[2:]))
     hot_from = max(2.0, HOT * total[0])
     known = blk.delivered(blocks, words.filter(F.col("block").isNotNull()), "words")
-    pairs = common.cut(blk.answers(blk.requests(known, _ask_pairs(text, hot_from), parts), _count_pairs(unigrams), _REPLY))
+    pairs = blk.exchange(known, _ask_pairs(text, hot_from), parts, _count_pairs(unigrams), _REPLY)
     hot_sums = _sums(pairs, GOOD_TURING + 2)
     factor = discounts(list(hot_sums.pop(0, np.zeros(GOOD_TURING + 2))[: GOOD_TURING + 1]))
     both = blk.delivered(known, pairs.filter(F.col("block").isNotNull()), "pairs")

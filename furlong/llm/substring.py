@@ -177,9 +177,9 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
     base = df.drop("n_words", "n_removed", "kept", "removed")
     parts = common.parallelism(df.sparkSession)
     blocks = blk.pack(base, doc_id)
-    hits = common.cut(blk.answers(blk.requests(blocks, _ask_anchors(text, width // 2), parts), _find_anchors))
+    hits = blk.exchange(blocks, _ask_anchors(text, width // 2), parts, _find_anchors)
     anchored = blk.delivered(blocks, hits, "anchors")
-    firsts = common.cut(blk.answers(blk.requests(anchored, _ask_windows(text, doc_id, width), parts), _find_first))
+    firsts = blk.exchange(anchored, _ask_windows(text, doc_id, width), parts, _find_first)
     both = blk.delivered(anchored, firsts, "firsts")
     names = base.columns
 
