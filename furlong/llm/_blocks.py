@@ -14,21 +14,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import _common as common
 
-BLOCK_BYTES = 4 << 20
+#: Text in a block, and (on average) in what one reducer answers for: these bound the memory of a task. There are blocks x
+#: parts lists, so where tasks may take more memory, larger values of both serve larger inputs.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 32 << 20
+#: Parts beyond the reducers', which small notes of all blocks are added up in.
+TALLIES = 64
 
 
 def zip_bytes(raw: bytes, level: int = 3) -> bytes:
     return zstandard.compress(raw, level)
 
 
-def pack(df: DataFrame, sort_by: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, payload): the rows of df in blocks, each sorted by the column (NULLs last); written to the shared folder."""
+def pack(df: DataFrame, sort_by: str, text: str, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """(block, payload): the rows of df in blocks, each sorted by the column (NULLs last), written to the shared folder; and
+    the number of parts that so much text is dealt to."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -38,10 +44,11 @@ def pack(df: DataFrame, sort_by: str, block_bytes: int = BLOCK_BYTES) -> DataFra
 
         def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts).sort_by([(sort_by, "ascending")]).combine_chunks()
+            size = pc.sum(pc.binary_length(rows.column(text))).as_py() or 0
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as out:
                 out.write_table(rows)
-            return pa.RecordBatch.from_arrays([pa.array([first + next(number)], pa.int64()), pa.array([zip_bytes(sink.getvalue().to_pybytes())], pa.binary())], names=["block", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([first + next(number)], pa.int64()), pa.array([zip_bytes(sink.getvalue())], pa.binary()), pa.array([size], pa.int64())], names=["block", "payload", "size"])
 
         held, size = [], 0
         for batch in batches:
@@ -56,16 +63,17 @@ def pack(df: DataFrame, sort_by: str, block_bytes: int = BLOCK_BYTES) -> DataFra
         if held:
             yield block(held)
 
-    packed = df.mapInArrow(run, "block long, payload binary")
-    conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint of an adaptive plan forgets how its rows are partitioned
+    spark = df.sparkSession
+    packed = df.mapInArrow(run, "block long, payload binary, size long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint of an adaptive plan forgets how its rows are partitioned
     try:
-        out = common.cut(packed.repartition(common.parallelism(df.sparkSession), "block"))
+        out = common.cut(packed.repartition(common.parallelism(spark), "block"))
     finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
-    common.free(df.sparkSession)
-    return out
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    common.free(spark)
+    size = out.agg(F.sum("size")).first()[0] or 0
+    return out.drop("size"), max(common.parallelism(spark), -(-size // part_bytes))
 
 
 def unpack(payload: bytes) -> pa.Table:
@@ -73,14 +81,20 @@ def unpack(payload: bytes) -> pa.Table:
         return rows.read_all().combine_chunks()
 
 
+def rows_of(batches) -> Iterator[dict]:
+    """One row at a time, so that only one block's values are Python's."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def requests(blocks: DataFrame, ask: Callable, parts: int) -> DataFrame:
     """(block, p, blob). ask: from a block's row to an iterator of (p, bytes)."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                for p, blob in ask(row, parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["block", "p", "blob"])
+        for row in rows_of(batches):
+            for p, blob in ask(row, parts):
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["block", "p", "blob"])
 
     return blocks.mapInArrow(run, "block long, p int, blob binary")
 

@@ -33,6 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 def free(spark: SparkSession) -> None:
     """Shuffle files and checkpoints that no frame can reach any more go from disk now, not when the driver next happens to
     collect its garbage. Nothing that is still needed is touched."""
+    spark.range(1).count()  # Spark holds on to the last plan that ran until another one has
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -42,6 +43,19 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def fresh(name: str, *taken) -> str:
+    """A column name that isn't among these lists of names, in any case."""
+    used = {n.lower() for names in taken for n in names}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -49,7 +49,7 @@ PERCENT = 80
 #: more frequent, for all sets alike; it costs a comparison, not a link.
 KEY = 5
 #: Sizes below this are in the histogram, which so many rows add up.
-HISTOGRAM, TALLIES = 50, 64
+HISTOGRAM = 50
 #: Bits of a set's parity bitmap.
 PARITY = 512
 #: Small sizes whose histogram the boundary is chosen from.
@@ -137,7 +137,7 @@ def _ask_counts(shingle: int):
             if len(own):
                 yield p, len(own).to_bytes(4, "little") + blk.to_bytes(keys[own] >> np.uint64(20), KEY) + blk.zip_bytes(blk.planes(times[own], 4))
         sizes = np.bincount([len(s) for s in found if len(s) < HISTOGRAM], minlength=HISTOGRAM)
-        yield parts + block["block"] % TALLIES, sizes.astype("<i8").tobytes()
+        yield parts + block["block"] % blk.TALLIES, sizes.astype("<i8").tobytes()
 
     return ask
 
@@ -206,11 +206,10 @@ def _profiles(counted: DataFrame, shingle: int, percent: int, most: int, parts:
                 yield from ((None, n, sig, None, False, key, int(at)) for key, at in zip(s[first].astype(np.int64).tolist(), range(len(first)), strict=True) if c[first[at]] > 1)
 
     def run(batches):
-        for batch in batches:
-            for block in batch.to_pylist():
-                some = rows(block)
-                while part := list(itertools.islice(some, 20_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+        for block in blk.rows_of(batches):
+            some = rows(block)
+            while part := list(itertools.islice(some, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
     return common.cut(counted.mapInArrow(run, "doc_id long, n int, sig binary, bits binary, light boolean, key long, at int"))
 
@@ -222,6 +221,12 @@ def _allowed(a: str, b: str, percent: int) -> F.Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (common_most * (100 + percent) >= percent * (n + m))
 
 
+def _early(percent: int) -> F.Column:
+    """Whether a posting's place allows a link with a set of its own size or more. Of two that aren't early, each would have to
+    be the smaller: they never link."""
+    return (F.col("n") - F.col("at")) * (100 + percent) >= 2 * percent * F.col("n")
+
+
 def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) that link: by parity bitmaps first, then by the sets."""
     bits = nodes.select("node", "n", "bits")
@@ -287,9 +292,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of df."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = common.parallelism(df.sparkSession)
-    blocks = blk.pack(docs, "doc_id")
+    docs = df.select(common.col(doc_id).cast("long").alias("doc_id"), common.col(text).alias("text"))
+    blocks, parts = blk.pack(docs, "doc_id", "text")
     counts = blk.exchange(blocks, _ask_counts(shingle), parts, _count(parts))
     tallies = [np.frombuffer(r.blob, "<i8") for r in counts.filter("block IS NULL").select("blob").collect()]
     histogram = {s: int(n) for s, n in enumerate(np.sum(tallies, 0) if tallies else []) if s and n}
@@ -299,43 +303,51 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int
     rows = profile.filter("key IS NULL").select("doc_id", "n", "sig", "bits")
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = common.cut(named.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    same = named.select("sig", "doc_id").distinct().join(nodes.select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-
-    # Dealt once, by the list: the distinct members of a list and its length need no further exchange.
-    dealt = profile.filter("key IS NOT NULL").select("light", "key", "sig", "n", "at").repartition(parts, "light", "key")
-    posted = dealt.groupBy("light", "key", "sig").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    in_list = Window.partitionBy("light", "key")
-    lists = posted.withColumn("of", F.count("*").over(in_list)).filter("of > 1").drop("of")
-    lists = common.cut(lists.join(nodes.select("sig", "node"), "sig").drop("sig"))
-    del dealt, posted
     common.free(df.sparkSession)
+    same = named.select("sig", "doc_id").distinct().join(nodes.select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
+    # A list's head and length are partial sums, joined back to it, so that a long list is nowhere whole in one task.
+    posted = profile.filter("key IS NOT NULL").groupBy("light", "key", "sig").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    posted = common.cut(posted.join(nodes.select("sig", "node"), "sig").drop("sig"))
     first = F.struct(F.when(F.col("light"), F.col("n")).alias("size"), "node", "n", "at")
-    ranked = lists.withColumn("head", F.min(first).over(in_list)).filter("node <> head.node").withColumn("own", F.struct("node", "n", "at"))
+    heads = posted.groupBy("light", "key").agg(F.min(first).alias("head"), F.count("*").alias("of"), F.bool_or(_early(percent)).alias("any"))
+    lists = posted.join(heads.filter("of > 1 AND (light OR any)").drop("of", "any"), ["light", "key"])
+
+    ranked = lists.filter("node <> head.node").withColumn("own", F.struct("node", "n", "at"))
     enough = percent * (F.col("head.n") + F.col("n")) <= F.col("at") * (100 + percent)
     light = ranked.filter("light").filter(enough).select(F.col("node").alias("u"), F.col("head.node").alias("v"))
     star = ranked.filter("NOT light").filter(_allowed("head", "own", percent)).select(F.col("head.node").alias("u"), F.col("node").alias("v"))
     links = common.cut(_decided(star, nodes, docs, shingle, percent).union(light).union(same).distinct())
     root = components(links)
 
-    heavy = lists.filter("NOT light").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heavy = lists.filter("NOT light").drop("head").join(root, "node", "left").withColumns({"root": F.coalesce("root", "node"), "early": _early(percent)})
     of_class = heavy.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = of_class.groupBy("key").agg(F.max(F.struct("size", "root")).getField("root").alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
     open_lists = common.cut(heavy.join(main, "key"))
     a, b = open_lists.filter("root <> main").alias("a"), open_lists.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    rest = a.join(b, across & _allowed("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    more = _decided(rest, nodes, docs, shingle, percent)
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _allowed("a", "b", percent)
+    # A pair has a posting that is early. Where both are outside the main class and early, it is met twice.
+    once = (F.col("b.root") == F.col("b.main")) | ~F.col("b.early") | (F.col("a.node") < F.col("b.node"))
+    rest = a.filter("a.early").join(b, across & once).unionAll(a.filter("NOT a.early").join(b.filter("b.early AND b.root = b.main"), across))
+    more = _decided(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), nodes, docs, shingle, percent)
     if not more.isEmpty():
         root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     return rows.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of df that stay: of each component the one with the smallest id; rows without id stay."""
+    """One row of each component: that with the smallest id, and of rows that share it that with the smallest hash of its text
+    (of equal ones, any). Rows without id stay."""
     found = join(df, text, doc_id)
-    go = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(go, df[doc_id] == F.col("_gone"), "left_anti")
+    id_, mark, place = common.fresh("id", df.columns), common.fresh("mark", df.columns), common.fresh("place", df.columns)
+    each = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    marks = each.filter("c <> doc_id OR n > 1").select(F.col("doc_id").alias(id_), (F.col("c") == F.col("doc_id")).alias(mark))
+    if marks.filter(common.col(mark)).isEmpty():
+        return df.join(marks.drop(mark), df[doc_id] == marks[id_], "left_anti")
+    marked = df.join(marks, df[doc_id] == marks[id_], "left").filter(F.coalesce(mark, F.lit(True)))
+    alone, shared = marked.filter(common.col(mark).isNull()).select(*map(common.col, df.columns)), marked.filter(common.col(mark))
+    first = Window.partitionBy(common.col(doc_id)).orderBy(F.xxhash64(common.col(text)))
+    return alone.unionAll(shared.withColumn(place, F.row_number().over(first)).filter(common.col(place) == 1).select(*map(common.col, df.columns)))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

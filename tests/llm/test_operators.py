@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import math
 import zlib
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from furlong.llm import _blocks as blk
 from furlong.llm import bpe, chat, decontaminate, fingerprint, jaccard, katz, language, quality, sharding, substring
 from furlong.llm.queries import ORACLE_SQL, QUERIES
 
@@ -127,41 +129,56 @@ def test_substring(docs, none):
     assert substring.dedup(none).count() == 0
 
 
-def test_katz_against_brute_force(spark, docs, none):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, docs, none, monkeypatch, order):
+    """With many small blocks, so that some n-grams are one block's own, and with one."""
     trains = F.coalesce(F.col("doc_id") != 3, F.lit(True))
     tok = lambda t: [*low(t).encode().split(), b"\0end"]
-    uni, pairs = collections.Counter(), collections.defaultdict(collections.Counter)
+    grams = [collections.Counter() for _ in range(order)]
+    seen = lambda x: (*[b"\0begin"] * (order - 1), *x)
     for k, t in ROWS:
         if k != 3:
-            x = tok(t)
-            uni.update(x)
-            for a, b in zip([b"\0begin", *x], x):
-                pairs[a][b] += 1
-    of = lambda values: [collections.Counter(values)[i] for i in range(1, 7)]
-    d1, d2 = katz.discounts(of(uni.values())), katz.discounts(of(v for h in pairs.values() for v in h.values()))
-    f = lambda d, r: d[r] if r <= 5 else 1.0
-    total = sum(uni.values())
-    unknown = sum((1 - f(d1, v)) * v for v in uni.values()) / total
-    low_order = lambda w: f(d1, uni[w]) * uni[w] / total if uni[w] else unknown
+            x = seen(tok(t))
+            for i in range(order - 1, len(x)):
+                for n in range(order):
+                    grams[n][x[i - n : i + 1]] += 1
+    after = [collections.defaultdict(dict) for _ in grams]
+    for n, own in enumerate(grams):
+        for g, c in own.items():
+            after[n][g[:-1]][g[-1]] = c
+    d = [katz.discounts([collections.Counter(own.values())[i] for i in range(1, 7)]) for own in grams]
+    f = lambda n, c: d[n][c] if c <= 5 else 1.0
+    total = sum(grams[0].values())
+    unknown = sum((1 - f(0, v)) * v for v in grams[0].values()) / total
+
+    @functools.lru_cache(None)
+    def left(h):
+        n, follow = len(h), after[len(h)][h]
+        all_of, freed = sum(follow.values()), sum((1 - f(n, v)) * v for v in follow.values())
+        all_of, mass = (all_of, freed / all_of) if freed else (all_of + 1, 1 / (all_of + 1))
+        return all_of, mass / (1 - sum(p(w, h[1:]) for w in follow))
 
     def p(w, h):
-        if h not in pairs:
-            return low_order(w)
-        n = sum(pairs[h].values())
-        freed = sum((1 - f(d2, v)) * v for v in pairs[h].values())
-        n, left = (n, freed / n) if freed else (n + 1, 1 / (n + 1))
-        if pairs[h][w]:
-            return f(d2, pairs[h][w]) * pairs[h][w] / n
-        return left / (1 - sum(map(low_order, pairs[h]))) * low_order(w)
-
-    for h in [*pairs, b"never"]:
-        assert sum(p(w, h) for w in uni) + p(b"\0unknown", h) == pytest.approx(1)
-    for r in katz.score(docs, trains).collect():
-        x = tok(r.text)
-        assert r.score == pytest.approx(sum(math.log10(p(w, h)) for h, w in zip([b"\0begin", *x], x)), abs=1e-8)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(uni[w] > 0 for w in x), total)
-    assert katz.score(none, F.lit(True)).count() == 0
-    assert {r.score for r in katz.score(docs, F.lit(False)).collect()} == {0.0}
+        n = len(h)
+        if not n:
+            return f(0, grams[0][w,]) * grams[0][w,] / total if grams[0][w,] else unknown
+        if h not in after[n]:
+            return p(w, h[1:])
+        c = grams[n][(*h, w)]
+        return f(n, c) * c / left(h)[0] if c else left(h)[1] * p(w, h[1:])
+
+    for h in [*after[-1], (b"never",) * (order - 1)]:
+        assert sum(p(w, h) for (w,) in grams[0]) + p(b"\0unknown", h) == pytest.approx(1)
+    for block_bytes in (200, 1 << 22):
+        monkeypatch.setattr(blk.pack, "__defaults__", (block_bytes, 1000))
+        for r in katz.score(docs, trains, order=order).collect():
+            x = seen(tok(r.text))
+            want = sum(math.log10(p(x[i], x[i - order + 1 : i])) for i in range(order - 1, len(x)))
+            assert r.score == pytest.approx(want, abs=1e-8)
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x) - order + 1, sum(grams[0][w,] > 0 for w in x[order - 1 :]), total)
+    if order == 3:
+        assert katz.score(none, F.lit(True)).count() == 0
+        assert {r.score for r in katz.score(docs, F.lit(False)).collect()} == {0.0}
 
 
 def test_chat_branches(spark):
