@@ -9,7 +9,9 @@ folder, hashed by their id, so that answers come to the blocks without moving th
 
 from __future__ import annotations
 
+import ctypes
 import itertools
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,11 +83,19 @@ def unpack(payload: bytes) -> pa.Table:
         return rows.read_all().combine_chunks()
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batches) -> Iterator[dict]:
     """One row at a time, so that only one block's values are Python's."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            release()
 
 
 def requests(blocks: DataFrame, ask: Callable, parts: int) -> DataFrame:
@@ -103,6 +113,7 @@ def answers(asked: DataFrame, reduce: Callable, schema: str = "block long, p int
     """reduce: from (p, block ids, blobs) to a table of that schema."""
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         group = group.sort_by([("block", "ascending")])
         return reduce(group.column("p")[0].as_py(), group.column("block").to_pylist(), group.column("blob").to_pylist())
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,7 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    # Rows of text, or of packed blocks, are large: batches for Python are bounded by bytes rather than by their usual rows.
+    before = spark.conf.get(BATCH_BYTES[0], None)
+    spark.conf.set(*BATCH_BYTES)
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.unset(BATCH_BYTES[0]) if before is None else spark.conf.set(BATCH_BYTES[0], before)
 
 
 def free(spark: SparkSession) -> None:
@@ -35,6 +45,7 @@ def free(spark: SparkSession) -> None:
     collect its garbage. Nothing that is still needed is touched."""
     spark.range(1).count()  # Spark holds on to the last plan that ran until another one has
     gc.collect()
+    time.sleep(1.5)  # the JVM is told once a second which frames Python has dropped
     spark.sparkContext._jvm.System.gc()
 
 

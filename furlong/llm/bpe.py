@@ -47,17 +47,18 @@ def pieces(text: str, size: int = CUT_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
-def _replaced(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind, True)])
+def _replaced(schema: T.StructType, fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    return T.StructType([*(f for f in schema.fields if f.name not in dict(fields)), *(T.StructField(name, kind, True) for name, kind in fields)])
 
 
-def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [i for i, n in enumerate(batch.schema.names) if n != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], names=[*(batch.schema.names[i] for i in kept), name])
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    kept = [i for i, n in enumerate(batch.schema.names) if n not in columns]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns.values()], names=[*(batch.schema.names[i] for i in kept), *columns])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", ranks: str = RANKS, pattern: str | None = None, rows: int = 256) -> DataFrame:
-    """df with the column ids: array<int>."""
+def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", ranks: str = RANKS, pattern: str | None = None, rows: int = 256, decoded: str | None = None) -> DataFrame:
+    """df with the column ids: array<int>. decoded: the name of a column for the bytes that these ids decode to, so that a
+    round trip takes one pass."""
 
     def run(batches):
         encoder = encoding(ranks, pattern)
@@ -69,9 +70,13 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", ranks: str
                     own = x.as_py() or ""
                     found.append(np.array([i for p in pieces(own) for i in encoder.encode_ordinary(p)], np.int32))
                 ends = np.cumsum([0, *map(len, found)])
-                yield _with(part, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32())))
+                columns = {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))}
+                if decoded:
+                    columns[decoded] = pa.array([encoder.decode_bytes(x.tolist()) for x in found], pa.binary())
+                yield _with(part, columns)
 
-    return df.mapInArrow(run, _replaced(df.schema, ids, T.ArrayType(T.IntegerType())))
+    fields = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.BinaryType())] if decoded else [])]
+    return df.mapInArrow(run, _replaced(df.schema, fields))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", ranks: str = RANKS, pattern: str | None = None, rows: int = 256) -> DataFrame:
@@ -83,9 +88,9 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", ranks: s
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
                 found = [None if (own := x.as_py()) is None else encoder.decode_bytes(own) for x in part.column(part.schema.get_field_index(ids))]
-                yield _with(part, out, pa.array(found, pa.binary()))
+                yield _with(part, {out: pa.array(found, pa.binary())})
 
-    return df.mapInArrow(run, _replaced(df.schema, out, T.BinaryType()))
+    return df.mapInArrow(run, _replaced(df.schema, [(out, T.BinaryType())]))
 
 
 def digests(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> list:
@@ -99,5 +104,5 @@ def digests(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") ->
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = encode(docs, decoded="decoded").drop("text")
     return coded.select("doc_id", *digests(coded))

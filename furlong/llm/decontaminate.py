@@ -5,7 +5,8 @@ words of a benchmark item; an item of fewer words, but not none, is one window.
 which three words of each window are the rarest; postings (term, document, position) are written once to the shared folder
 for those terms alone, adjusted by the word's offset in the item, and intersected: a document, item and shift with as many
 rare terms as a window has is compared word by word. So frequent terms have no lists, and no window that occurs is missed.
-The index is of one benchmark's rare terms and one run; ``prepared`` makes it, ``matches`` and ``proximity`` read it.
+A posting of the empty term, at the place after a document's last word, tells its length. The index is of one benchmark's
+rare terms and one run; ``prepared`` makes it, ``matches``, ``judge`` and ``proximity`` read it.
 
 Cases: a NULL text has no words and is neither hit nor contaminated. Repeated items count once for each item_id; items
 without words are never found. Rows with the same id but other texts are kept apart; a NULL id is a key of its own.
@@ -21,42 +22,47 @@ from furlong.llm import _common as common
 
 WIDTH = 13
 RAREST = 3
-#: What is broadcast has so many rows at most, of a word and a few numbers; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: What is broadcast has so many bytes at most, by a sum over its rows; larger sides are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+_NO_ID = -(1 << 63)
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(common.lower_ascii(F.coalesce(text, F.lit(""))), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bounded(df: DataFrame, size: Column | int) -> DataFrame:
+    """df, to be broadcast if its rows have few enough bytes. size: of a row; numbers beside it count 64."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    return F.broadcast(df) if (df.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(F.col(text)).alias("_h"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    own = common.col(text)
+    return docs.select(F.coalesce(common.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("_k"), F.xxhash64(own).alias("_h"), own.alias("_t"))
 
 
 def _anchors(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(item, s, at, term): the rarest terms of each window (from s) of each item, by their frequency in the texts."""
+    """(item, s, at, term): the rarest terms of each window (from s) of each item, by their frequency in the texts. A word is
+    dealt to the windows that it is in, so the work follows the items' words."""
     each = items.select("item", "n", F.posexplode("w").alias("at", "term"))
-    terms = _bounded(each.select("term").distinct())
-    counted = texts.select(F.explode(words(F.col("_t"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df"))
-    windows = items.select("item", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - width, F.lit(0)))).alias("s"))
-    inside = each.join(windows, "item").filter((F.col("at") >= F.col("s")) & (F.col("at") < F.col("s") + width))
+    terms = common.cut(each.select("term").distinct())
+    counted = texts.select(F.explode(words(F.col("_t"))).alias("term")).join(_bounded(terms, F.octet_length("term")), "term").groupBy("term").agg(F.count("*").alias("df"))
+    inside = each.join(counted, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.col("at") - width + 1, F.lit(0)), F.least(F.col("at"), F.greatest(F.col("n") - width, F.lit(0))))))
     rare = Window.partitionBy("item", "s").orderBy(F.coalesce("df", F.lit(0)), "at")
-    chosen = inside.join(counted, "term", "left").withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= RAREST)
-    return common.cut(chosen.select("item", "s", "at", "term").distinct())
+    chosen = inside.withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= RAREST)
+    return common.cut(chosen.select("item", "s", "at", "term"))
 
 
 def _postings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(term, document, position) of the anchors' terms, written to the shared folder."""
-    tokens = texts.select("_k", "_h", F.posexplode(words(F.col("_t"))).alias("p", "term"))
-    return common.cut(tokens.join(_bounded(anchors.select("term").distinct()), "term").select("term", "_k", "_h", "p"))
+    """(term, document, position) of the anchors' terms and of each text's end, written to the shared folder."""
+    tokens = texts.select("_k", "_h", F.posexplode(F.concat(words(F.col("_t")), F.array(F.lit("")))).alias("p", "term"))
+    terms = anchors.select("term").union(anchors.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    return common.cut(tokens.join(_bounded(terms, F.octet_length("term")), "term").select("term", "_k", "_h", "p"))
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    split = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0).distinct()
+    split = benchmark.select(common.col(item_id).alias("item_id"), words(common.col(text)).alias("w")).filter(F.size("w") > 0).distinct()
     return common.cut(split.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "w", F.size("w").alias("n")))
 
 
@@ -69,26 +75,43 @@ def prepared(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
 
 def _shifted(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """The postings with what the anchors have besides their term, and the shift of the item against the document."""
-    return index.join(_bounded(anchors), "term").withColumn("shift", F.col("p") - F.col("at")).drop("term", "p")
+    return index.join(_bounded(anchors, F.octet_length("term")), "term").withColumn("shift", F.col("p") - F.col("at")).drop("term", "p")
+
+
+def _hits(docs: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], doc_id: str, text: str, width: int) -> DataFrame:
+    """(_k, _h, hits array<struct<item_id, start, end>>): the spans of words that windows of items have in each document.
+
+    A document's alignments are one list beside its words, and compared where they are: no part of it is copied."""
+    items, anchors, postings = index
+    met = _shifted(postings, anchors.select("item", "at", "term").distinct()).groupBy("_k", "_h", "item", "shift").agg(F.countDistinct("at").alias("c"))
+    lengths = items.select("item", "n")
+    aligned = common.cut(met.join(_bounded(lengths, 0), "item").filter(F.col("c") >= F.least(F.lit(RAREST), F.col("n"))).select("_k", "_h", "item", "shift"))
+    wanted = aligned.groupBy("_k", "_h", "item").agg(F.collect_list("shift").alias("shifts")).join(_bounded(items, F.octet_length(F.array_join("w", " ")) + 8 * F.col("n")), "item")
+    wanted = common.cut(wanted.groupBy("_k", "_h").agg(F.collect_list(F.struct("item_id", "w", "n", "shifts")).alias("to")))
+    small = wanted.select("_k", "_h")
+    some = _keyed(docs, doc_id, text).join(_bounded(small, 0), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
+    found = some.join(wanted, ["_k", "_h"]).select("_k", "_h", words(F.col("_t")).alias("d"), "to")
+
+    def spans(t: Column, shift: Column) -> Column:
+        """Where windows of one item begin that the document has at one shift."""
+        size = F.least(F.lit(width), t.n)
+        first, last = F.greatest(-shift, F.lit(0)), F.least(t.n, F.size("d") - shift) - size
+        same = lambda i: F.forall(F.sequence(F.lit(0), size - 1), lambda j: F.get(t.w, i + j) == F.get("d", i + j + shift))
+        starts = F.when(last >= first, F.filter(F.sequence(first, last), same)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(t.item_id.alias("item_id"), (i + shift).alias("start"), (i + shift + size).alias("end")))
+
+    of_item = lambda t: F.flatten(F.transform(t.shifts, lambda shift: spans(t, shift)))
+    return found.select("_k", "_h", F.flatten(F.transform("to", of_item)).alias("hits")).filter(F.size("hits") > 0)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(_k, _h, item_id, places): the document's key, and the word positions that the item's windows cover there."""
-    texts = _keyed(docs, doc_id, text)
-    items, anchors, postings = index or prepared(docs, benchmark, doc_id, item_id, text, width)
-    shifts = _shifted(postings, anchors.select("item", "at", "term").distinct()).groupBy("_k", "_h", "item", "shift").agg(F.countDistinct("at").alias("c"))
-    aligned = common.cut(shifts.join(F.broadcast(items.select("item", "n")) if items.count() <= BROADCAST_ROWS else items.select("item", "n"), "item").filter(F.col("c") >= F.least(F.lit(RAREST), F.col("n"))).select("_k", "_h", "item", "shift"))
-    wanted = aligned.groupBy("_k", "_h").agg(F.collect_list(F.struct("item", "shift")).alias("to"))
-    found = texts.join(_bounded(wanted), ["_k", "_h"]).dropDuplicates(["_k", "_h"]).select("_k", "_h", words(F.col("_t")).alias("d"), "to")
-    pairs = found.select("_k", "_h", "d", F.explode("to").alias("to")).select("_k", "_h", F.col("to.item").alias("item"), F.col("to.shift").alias("shift"), F.slice("d", F.greatest(F.col("to.shift") + 1, F.lit(1)), F.size("d")).alias("d"))
-    pairs = pairs.join(_bounded(items), "item").select("_k", "_h", "item_id", "n", "shift", "w", F.slice("d", F.lit(1), F.col("n")).alias("d"))
-    ahead = F.greatest(-F.col("shift"), F.lit(0))
-    pairs = pairs.withColumn("m", F.transform("w", lambda x, i: F.coalesce(F.when(i >= ahead, x == F.get("d", i - ahead)), F.lit(False))))
-    span = F.least(F.lit(width), F.col("n"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - span), lambda s: F.forall(F.slice("m", s + 1, span), lambda x: x))
-    pairs = pairs.withColumn("s", starts).filter(F.size("s") > 0)
-    places = F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + span - 1))))
-    return pairs.select("_k", "_h", "item_id", places.alias("places"))
+    """(doc_id, item_id, start, end): every window of an item that a document has, as a span of the document's words."""
+    found = _hits(docs, index or prepared(docs, benchmark, doc_id, item_id, text, width), doc_id, text, width)
+    return found.select(_id(), F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
+def _id() -> Column:
+    return F.when(F.col("_k") != _NO_ID, F.col("_k")).alias("doc_id")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, slack: int = 3, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -97,33 +120,36 @@ def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", ite
     ahead = Window.partitionBy("_k", "_h", "item", "s").orderBy("shift").rangeBetween(0, slack)
     close = _shifted(postings, anchors).withColumn("terms", F.size(F.collect_set("at").over(ahead)))
     wanted = anchors.groupBy("item", "s").agg(F.count("*").alias("of"))
-    enough = close.join(_bounded(wanted), ["item", "s"]).filter("terms = of").join(_bounded(items.select("item", "item_id")), "item")
+    names = items.select("item", "item_id")
+    enough = close.join(_bounded(wanted, 0), ["item", "s"]).filter("terms = of").join(_bounded(names, F.octet_length(F.col("item_id").cast("string"))), "item")
     best = enough.groupBy("_k", "_h", "item_id").agg(F.max("terms").alias("terms"), F.min("shift").alias("shift"))
-    return best.select(F.when(F.col("_k") != -(1 << 63), F.col("_k")).alias("doc_id"), "item_id", "shift", "terms")
+    return best.select(_id(), "item_id", "shift", "terms")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, share: int = 20) -> DataFrame:
     """One row for each document: _k, _h (its key), doc_id, n_words, n_hit, items (sorted ids), contaminated.
 
     contaminated: share * n_hit >= n_words, with a hit at least."""
-    found = matches(docs, benchmark, doc_id, item_id, text, width)
-    hits = found.groupBy("_k", "_h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    )
-    counted = _keyed(docs, doc_id, text).select("_k", "_h", F.col("_id").alias("doc_id"), F.size(words(F.col("_t"))).cast("long").alias("n_words"))
+    index = prepared(docs, benchmark, doc_id, item_id, text, width)
+    spans = F.array_sort(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.end.alias("end"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    covered = F.aggregate(spans, start, lambda s, h: F.struct((s.n + F.greatest(h.end - F.greatest(h.start, s.end), F.lit(0))).alias("n"), F.greatest(s.end, h.end).alias("end")))
+    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h.item_id.cast("string"))))
+    hits = _hits(docs, index, doc_id, text, width).select("_k", "_h", covered.n.cast("long").alias("n_hit"), ids.alias("items"))
+    texts = index[2].filter("term = ''").select("_k", "_h", _id(), F.col("p").cast("long").alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return counted.join(hits, ["_k", "_h"], "left").select(
+    return texts.join(hits, ["_k", "_h"], "left").select(
         "_k", "_h", "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with their own columns."""
-    dirty = judge(docs, benchmark, doc_id, text=text).filter("contaminated").select("_k", "_h").distinct()
-    keyed = docs.withColumns({"_k": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(F.col(text))})
-    return keyed.join(_bounded(dirty), ["_k", "_h"], "left_anti").select(*docs.columns)
+    """The documents that aren't contaminated, with their own columns, whatever their names."""
+    k, h = common.fresh("k", docs.columns), common.fresh("h", docs.columns)
+    dirty = common.cut(judge(docs, benchmark, doc_id, text=text).filter("contaminated").select(F.col("_k").alias(k), F.col("_h").alias(h)).distinct())
+    keyed = docs.withColumns({k: F.coalesce(common.col(doc_id).cast("long"), F.lit(_NO_ID)), h: F.xxhash64(common.col(text))})
+    return keyed.join(_bounded(dirty, 0), [k, h], "left_anti").select(*map(common.col, docs.columns))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import collections
 import functools
 import hashlib
 import math
+import random
+import re
 import zlib
 
 import duckdb
@@ -236,6 +238,41 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.proximity(docs, bench).filter("doc_id = 1").count() == 1
 
 
+def brute_hits(text, items, width=13):
+    """{item: spans of the text's words that windows of the item cover}, by comparing everything."""
+    own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    out = {}
+    for i, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        n = min(width, len(w))
+        found = {(a, a + n) for s in range(len(w) - n + 1) for a in range(len(own) - n + 1) if n and own[a : a + n] == w[s : s + n]}
+        if found:
+            out[i] = out.get(i, set()) | found
+    return out, len(own)
+
+
+def test_decontaminate_against_brute_force(spark):
+    """Long, short and repetitive items and texts, items partly at the ends of a text, and repeated rows."""
+    draw = random.Random(4)
+    some = lambda n, m: " ".join(f"t{draw.randrange(m)}" for _ in range(n))
+    items = [(1, some(300, 40)), (2, "a " * 40), (3, some(13, 9)), (4, "t1 t2"), (5, some(20, 500)), (6, "a b " * 20), (7, None)]
+    texts = [some(200, 40) + " " + " ".join(items[0][1].split()[100:130]), "a " * 500, "b a " * 60, some(400, 9), " ".join(items[4][1].split()[5:]) + " x", "x T1, t2", None, "", " ".join(items[0][1].split()[:14])]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    index = decontaminate.prepared(docs, bench)
+    found = collections.defaultdict(lambda: collections.defaultdict(set))
+    for r in decontaminate.matches(docs, bench, index=index).collect():
+        found[r.doc_id][r.item_id].add((r.start, r.end))
+    judged = {r.doc_id: r for r in decontaminate.judge(docs, bench).collect()}
+    assert decontaminate.judge(docs, bench).count() == len(texts) + 1
+    for i, t in enumerate(texts):
+        want, n = brute_hits(t, items)
+        assert {k: v for k, v in found[i].items()} == want
+        hit = len({p for spans in want.values() for a, b in spans for p in range(a, b)})
+        r = judged[i]
+        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (n, hit, sorted(map(str, want)), hit > 0 and 20 * hit >= n)
+
+
 def test_proximity_is_within_slack_and_one_window(spark):
     short, long = [f"i{i}" for i in range(13)], [f"j{i}" for i in range(26)]
     bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
@@ -244,10 +281,10 @@ def test_proximity_is_within_slack_and_one_window(spark):
     # Shifts of 0, 4 and 7; of 0, 1 and 3; three rare terms of which no window has all.
     texts = [(1, at(i0=0, i1=5, i2=9)), (2, at(i0=0, i1=2, i2=5)), (3, at(j0=0, j12=12, j25=25)), *((10 + i, common) for i in range(5))]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    index = decontaminate.prepared(docs, bench) if hasattr(decontaminate, "prepared") else None
-    found = decontaminate.proximity(docs, bench, **({"index": index} if index else {}))
+    index = decontaminate.prepared(docs, bench)
+    found = decontaminate.proximity(docs, bench, index=index)
     assert [(r.doc_id, r.item_id, r.shift, r.terms) for r in found.filter("doc_id < 10").collect()] == [(2, 1, 0, 3)]
-    assert decontaminate.matches(docs, bench, **({"index": index} if index else {})).count() == 0
+    assert decontaminate.matches(docs, bench, index=index).count() == 0
 
 
 def test_fingerprint(spark, docs, none):
