@@ -18,9 +18,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier doesn't reject (score 0.7 or more)."""
     machine = quality.fit_tables(docs, common.table(spark, sf_dir, "labels"))
     names = docs.columns
-    renamed = docs.withColumnsRenamed({n: f"own_{n}" for n in names if n in ("score", "predicted")})
-    kept = quality.score(renamed, machine).filter("predicted = 1").drop("score", "predicted")
-    return kept.withColumnsRenamed({f"own_{n}": n for n in ("score", "predicted")}).select(*names)
+    own = {n: common.fresh(n, names, ["score", "predicted"]) for n in names if n.lower() in ("score", "predicted")}
+    kept = quality.score(docs.withColumnsRenamed(own), machine).filter("predicted = 1")
+    return kept.select(*(common.col(own.get(n, n)).alias(n) for n in names))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the words of windows that occurred earlier; a text that loses nothing stays as it is. n_chars is the
     new length. Documents that lose all their words stay, with an empty text."""
     names = docs.columns
-    found = substring.dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    found = found.withColumn("_text", text).withColumns({"text": F.col("_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))})
-    return found.select(*names)
+    outputs = ("n_words", "n_removed", "kept", "removed")
+    own = {n: common.fresh(n, names, outputs) for n in names if n.lower() in outputs}
+    found = substring.dedup(docs.withColumnsRenamed(own))
+    lost = F.col("n_removed") > 0
+    new = {"text": F.when(lost, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(lost, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*(new.get(n, common.col(own.get(n, n))).alias(n) for n in names))
 
 
 def benchmark_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def benchmark_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids and the digests of ids and decoded bytes."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    coded = bpe.encode(docs.select("doc_id", "text"), decoded="decoded").drop("text")
     return coded.select("doc_id", "token_ids", *bpe.digests(coded))
 
 
