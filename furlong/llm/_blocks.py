@@ -66,7 +66,7 @@ def pack(df: DataFrame, sort_by: str, text: str, block_bytes: int = BLOCK_BYTES,
             yield block(held)
 
     spark = df.sparkSession
-    packed = df.mapInArrow(run, "block long, payload binary, size long")
+    packed = common.map_in_arrow(df, run, "block long, payload binary, size long")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint of an adaptive plan forgets how its rows are partitioned
     try:

@@ -67,6 +67,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow for columns of any name; Spark's own looks columns up by expressions that odd names can't be in."""
+    names = df.columns
+
+    def named(batches):
+        yield from run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -76,7 +76,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", ranks: str
                 yield _with(part, columns)
 
     fields = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.BinaryType())] if decoded else [])]
-    return df.mapInArrow(run, _replaced(df.schema, fields))
+    return common.map_in_arrow(df, run, _replaced(df.schema, fields))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", ranks: str = RANKS, pattern: str | None = None, rows: int = 256) -> DataFrame:
@@ -90,7 +90,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", ranks: s
                 found = [None if (own := x.as_py()) is None else encoder.decode_bytes(own) for x in part.column(part.schema.get_field_index(ids))]
                 yield _with(part, {out: pa.array(found, pa.binary())})
 
-    return df.mapInArrow(run, _replaced(df.schema, [(out, T.BinaryType())]))
+    return common.map_in_arrow(df, run, _replaced(df.schema, [(out, T.BinaryType())]))
 
 
 def digests(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> list:

@@ -10,8 +10,9 @@ list of spans (start and length in code points of the formatted string) of the t
 
 Cases: a NULL text or role is empty; a NULL score counts as 0. A parent that isn't in the tree makes its reply a first
 message. Messages that share tree and id are kept apart by the caller, who numbers them. Equal scores: the path with the
-greater depth, then the smaller leaf id, is ranked first. A tree id that is NULL is a tree of its own. Cycles have no
-leaf that reaches a root, so they give no path. An empty table gives no conversation.
+greater depth, then the smaller leaf id, is ranked first. A tree id that is NULL is a tree of its own. Messages on a cycle,
+and those that hang on one, reach no root and are in no path. An empty table gives no conversation. Only the columns named
+are read.
 """
 
 from __future__ import annotations
@@ -30,42 +31,51 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">")), F.lit("\\b"), F.lit("\\"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, id, up): every message on the way from each leaf to its root, and how far above the leaf it is.
-
-    messages: tree, id, parent. Round k joins the links of length 2**k with what is known so far, so a tree of depth d
-    takes log2(d) rounds; each round is cut off from its lineage, and the work follows the rows of the result."""
-    m = messages.select("tree", "id", "parent")
-    known = m.select("tree", "id")
-    links = m.join(known.withColumnRenamed("id", "parent"), ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("to"))
-    links = common.cut(links)
-    leaves = known.join(links.select("tree", F.col("to").alias("id")), ["tree", "id"], "left_anti")
-    reached = common.cut(leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up")))
-    step = 1
-    while not links.isEmpty():
-        further = reached.join(links, ["tree", "id"]).select("tree", "leaf", F.col("to").alias("id"), (F.col("up") + step).alias("up"))
-        reached = common.cut(reached.unionByName(further))
-        onward = links.select("tree", F.col("id").alias("to"), F.col("to").alias("far"))
-        links = common.cut(links.join(onward, ["tree", "to"]).select("tree", "id", F.col("far").alias("to")))
+def _levels(links: DataFrame, messages: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links (tree, id, to, score of to) to the ancestors 1, 2, 4 ... steps above, each level written once, until none is left;
+    and, where links never end, those of a level that is longer than any tree: they belong to messages that reach no root."""
+    levels, step, longest = [common.cut(links)], 1, None
+    while not levels[-1].isEmpty():
+        if step >= 16 and longest is None:  # deep: from here on there might be a cycle
+            longest = messages.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if longest is not None and step >= longest:
+            return levels[:-1], levels[-1]
+        onward = levels[-1].select("tree", F.col("id").alias("to"), F.col("to").alias("far"), F.col("score").alias("far_score"))
+        levels.append(common.cut(levels[-1].join(onward, ["tree", "to"]).select("tree", "id", F.col("far").alias("to"), F.col("far_score").alias("score"))))
         step *= 2
-        if step > 1 << 40:
-            raise ValueError("the reply links have a cycle")
+    return levels[:-1], None
+
+
+def paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, id, up, score): every message on the way from each leaf to its root, how far above the leaf it is, its score.
+
+    messages: tree, id, parent, score. Round k joins what is known so far with the links 2**k steps up, so a tree of depth d
+    takes log2(d) rounds; each round writes only its new rows, and the work follows the rows of the result."""
+    m = messages.select("tree", "id", "parent", "score")
+    links = m.select("tree", "id", F.col("parent").alias("to")).join(m.select("tree", F.col("id").alias("to"), "score"), ["tree", "to"]).select("tree", "id", "to", "score")
+    levels, endless = _levels(links, m)
+    leaves = m.join(links.select("tree", F.col("to").alias("id")), ["tree", "id"], "left_anti")
+    if endless is not None:
+        leaves = leaves.join(endless, ["tree", "id"], "left_anti")
+    reached = common.cut(leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"), "score"))
+    for k, level in enumerate(levels):
+        further = reached.drop("score").join(level, ["tree", "id"]).select("tree", "leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"), "score")
+        reached = reached.unionByName(common.cut(further))
     return reached
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     """One row for each chosen path: tree, leaf, rank, n_messages, formatted, loss_spans array<struct<start,length>>.
 
-    messages: tree, id, parent, role, text, score; top: how many of the best paths of each tree."""
-    m = messages.select("tree", "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    m = m.withColumn("tree", F.struct(F.col("tree").alias("v")))
+    messages: tree, id, parent, role, text, score; top: how many of the best paths of each tree. Texts move once the paths are
+    chosen."""
+    m = messages.select(F.struct(F.col("tree").alias("v")).alias("tree"), "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     way = paths(m)
-    scored = way.join(m.select("tree", "id", "score"), ["tree", "id"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("n_messages"))
+    ranked = way.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("n_messages"))
     best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n_messages"), "leaf"))).filter(F.col("rank") <= top)
     turn = F.concat(F.lit("<turn "), F.col("r"), F.lit(">"), F.col("t"), F.lit("</turn>\n"))
     rows = (
-        way.join(best.select("tree", "leaf", "rank", "n_messages"), ["tree", "leaf"])
+        way.drop("score").join(best.drop("mean"), ["tree", "leaf"])
         .join(m.select("tree", "id", "role", "text"), ["tree", "id"])
         .withColumns({"r": escape(F.col("role")), "t": escape(F.col("text"))})
         .withColumns({"turn": turn, "at": F.col("n_messages") - 1 - F.col("up")})

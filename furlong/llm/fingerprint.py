@@ -21,13 +21,14 @@ _FIRST = -(1 << 63)
 
 def sketch(df: DataFrame, text: str = "text", out: str = "sketch", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """df with the column out: array<bigint>. Word hashes are a column of their own, so that they are computed once."""
-    words = F.filter(F.split(common.lower_ascii(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    hashed = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
-    w = F.col("_w")
+    words = F.filter(F.split(common.lower_ascii(F.coalesce(common.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    own = common.fresh("w", df.columns, [out])
+    hashed = df.withColumn(own, F.transform(words, lambda w: F.xxhash64(w)))
+    w = F.col(own)
     many = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, shingle))))
     few = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w.cast("array<string>"), " ")))).otherwise(F.array().cast("array<bigint>"))
     all_of = F.when(F.size(w) >= shingle, many).otherwise(few)
-    return hashed.withColumn(out, F.slice(F.sort_array(F.array_distinct(all_of)), 1, k)).drop("_w")
+    return hashed.withColumn(out, F.slice(F.sort_array(F.array_distinct(all_of)), 1, k)).drop(own)
 
 
 def merge(sketches: Column, k: int = K) -> Column:
@@ -67,8 +68,9 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, add, parts: int) -> DataFrame:
-    """Rows with what ``add(window)`` sees of the next row by descending key; after the last comes the first.
+def with_next(df: DataFrame, key: str, add, parts: int, then: Column | None = None) -> DataFrame:
+    """Rows with what ``add(window)`` sees of the next row by descending key; after the last comes the first. then: what orders
+    rows that share a key; rows that are equal in it too follow each other in any order.
 
     The keys are cut at quantiles into ranges, each one window; the head of a range is also dealt to the range before it,
     as a ghost row that only ends its window. add: from (DataFrame, window) to DataFrame; runs over rows and ghosts."""
@@ -82,11 +84,11 @@ def with_next(df: DataFrame, key: str, add, parts: int) -> DataFrame:
     last = len([h for h in heads if h >= (found[1] if found[1] is not None else 0)])
     bounds = F.array(*map(F.lit, heads)).cast("array<bigint>")
     part = F.size(F.filter(bounds, lambda h: h >= F.col("_k")))
-    placed = df.withColumn("_k", low).withColumn("_p", part)
+    placed = df.withColumns({"_k": low, "_t": F.lit(0) if then is None else then}).withColumn("_p", part)
     ghost = F.when(F.array_contains(bounds, F.col("_k")), F.when(F.col("_p") > 1, F.col("_p") - 1).otherwise(last))
     dealt = placed.withColumn("_d", F.explode(F.filter(F.array(F.struct(F.col("_p").alias("p"), F.lit(0).alias("g")), F.struct(ghost.alias("p"), F.lit(1).alias("g"))), lambda x: x.p.isNotNull())))
     dealt = dealt.withColumns({"_p": F.col("_d.p"), "_g": F.col("_d.g")}).drop("_d")
-    return add(dealt, Window.partitionBy("_p").orderBy("_g", F.desc("_k"))).filter("_g = 0").drop("_k", "_p", "_g")
+    return add(dealt, Window.partitionBy("_p").orderBy("_g", F.desc("_k"), "_t")).filter("_g = 0").drop("_k", "_p", "_g", "_t")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = sketch(rows, "text").drop("text").withColumn("next", F.lead("sketch").over(window))
         return sketch(rows.filter("_g = 0"), "edited", "edited_sketch")
 
-    found = with_next(docs, "doc_id", add, 2 * common.parallelism(spark))
+    found = with_next(docs, "doc_id", add, 2 * common.parallelism(spark), F.xxhash64("text"))
     return found.select(
         "doc_id",
         "n_chars",

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furlong.llm import _common as common
 
@@ -81,8 +82,8 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", l
                 names=[*batch.schema.names, *out],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, lang_best string, lang_pred string, rejected boolean, score double")
+    kinds = (T.StringType(), T.StringType(), T.BooleanType(), T.DoubleType())
+    return common.map_in_arrow(base, run, T.StructType([*base.schema.fields, *map(T.StructField, out, kinds)]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furlong.llm import _common as common
 
@@ -27,47 +28,56 @@ BUCKET_BYTES = 16 << 20
 MANY = 1024
 
 
+def _bytes(name: str, kind: str) -> Column:
+    """About the bytes of a value; nested ones by their text."""
+    value = common.col(name)
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(value), F.lit(0))
+    return F.coalesce(F.octet_length(value.cast("string")), F.lit(0)) if kind.startswith(("array", "map", "struct")) else F.lit(16)
+
+
 def shuffle(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows and columns of df with shard (0 to shards - 1) and slot (from 0 in each shard, without gaps)."""
-    base = df.drop("shard", "slot")
-    columns = base.columns
-    sizes = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in base.schema.fields if f.dataType.simpleString() in ("string", "binary")]
-    total = base.select(sum(sizes, F.lit(64)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    names = [n for n in df.columns if n not in ("shard", "slot")]
+    fields = [f for f in df.schema.fields if f.name in names]
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
     # Grouping takes -0.0 for 0.0 and folds collated strings: such columns are told apart by their text too.
-    loose = [f.name for f in base.schema.fields if any(x in f.dataType.simpleString() for x in ("float", "double", "collate"))]
-    texts = [F.col(f"`{c}`").cast("string") for c in loose]
-    firm = [F.col(f"`{c}`") for c in columns]
-    keyed = base.withColumns({"_h": F.xxhash64(F.lit(seed), *firm, *texts), "_g": F.xxhash64(F.lit(seed + 2), *firm, *texts), **{f"_t{i}": t for i, t in enumerate(texts)}})
-    keep = [F.first(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(loose)]
-    distinct = keyed.groupBy(*firm, "_h", "_g", *(f"_t{i}" for i in range(len(loose)))).agg(F.count("*").alias("_m"), *keep)
-    distinct = distinct.select(*(F.col(f"_v{loose.index(c)}").alias(c) if c in loose else F.col(f"`{c}`") for c in columns), "_h", "_g", "_m")
-    one = lambda i: F.pmod(F.xxhash64(F.lit(seed + 1), "_h", i), F.lit(buckets)).cast("int")
+    loose = [n for n in names if any(x in kinds[n] for x in ("float", "double", "collate"))]
+    own = [f"c{i}" for i in range(len(names))]  # within the shuffle columns have names of its own
+    base = df.select(*(common.col(n).alias(o) for n, o in zip(names, own, strict=True)))
+    total = df.select(sum((_bytes(n, kinds[n]) for n in names), F.lit(64)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // bucket_bytes))
+    texts = {f"t{names.index(n)}": F.col(own[names.index(n)]).cast("string") for n in loose}
+    keyed = base.withColumns({"h": F.xxhash64(F.lit(seed), *own, *texts.values()), "g": F.xxhash64(F.lit(seed + 2), *own, *texts.values()), **texts})
+    keep = [F.first(f"c{names.index(n)}").alias(f"v{names.index(n)}") for n in loose]
+    distinct = keyed.groupBy(*own, "h", "g", *texts).agg(F.count("*").alias("m"), *keep)
+    distinct = distinct.select(*(F.col(f"v{i}").alias(o) if n in loose else F.col(o) for i, (n, o) in enumerate(zip(names, own, strict=True))), "h", "g", "m")
+    one = lambda i: F.pmod(F.xxhash64(F.lit(seed + 1), "h", i), F.lit(buckets)).cast("int")
     start = one(F.lit(-1).cast("long"))
-    share = lambda b: F.expr(f"_m div {buckets}") + (F.pmod(b - start, F.lit(buckets)) < F.col("_m") % buckets).cast("long")
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda i: F.struct(one(i).alias("b"), F.lit(1).cast("long").alias("n")))
+    share = lambda b: F.expr(f"m div {buckets}") + (F.pmod(b - start, F.lit(buckets)) < F.col("m") % buckets).cast("long")
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: F.struct(one(i).alias("b"), F.lit(1).cast("long").alias("n")))
     even = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.struct(b.alias("b"), share(b).alias("n")))
-    dealt = distinct.withColumn("_d", F.explode(F.when(F.col("_m") <= MANY, each).otherwise(even)))
-    scattered = dealt.select(*firm, "_h", "_g", F.col("_d.b").alias("_b"), F.col("_d.n").alias("_times")).filter("_times > 0")
-    counts = scattered.groupBy("_b").agg(F.sum("_times").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_b", before.alias("_o"))
+    dealt = distinct.withColumn("d", F.explode(F.when(F.col("m") <= MANY, each).otherwise(even)))
+    scattered = dealt.select(*own, "h", "g", F.col("d.b").alias("b"), F.col("d.n").alias("times")).filter("times > 0")
+    counts = scattered.groupBy("b").agg(F.sum("times").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("b", before.alias("o"))
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([("_h", "ascending"), ("_g", "ascending")])
-        bucket = bucket.take(pa.array(np.repeat(np.arange(bucket.num_rows), bucket.column("_times").to_numpy())))
+        bucket = bucket.sort_by([("h", "ascending"), ("g", "ascending")])
+        bucket = bucket.take(pa.array(np.repeat(np.arange(bucket.num_rows), bucket.column("times").to_numpy())))
         n, order = bucket.num_rows, list(range(bucket.num_rows))
-        draw = random.Random(f"{seed}/{bucket.column('_b')[0].as_py()}")
+        draw = random.Random(f"{seed}/{bucket.column('b')[0].as_py()}")
         for i in range(n - 1, 0, -1):
             j = draw.randrange(i + 1)
             order[i], order[j] = order[j], order[i]
-        first = bucket.column("_o")[0].as_py()
+        first = bucket.column("o")[0].as_py()
         places = [first + i for i in range(n)]
-        mixed = bucket.take(pa.array(order)).select(columns)
+        mixed = bucket.take(pa.array(order)).select(own).rename_columns(names)
         return mixed.append_column("shard", pa.array([p % shards for p in places], pa.int32())).append_column("slot", pa.array([p // shards for p in places], pa.int64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return scattered.join(offsets, "_b").groupBy("_b").applyInArrow(fisher_yates, f"{fields}, shard int, slot long")
+    schema = T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return scattered.join(offsets, "b").groupBy("b").applyInArrow(fisher_yates, schema)
 
 
 def write(shuffled: DataFrame, path: str) -> None:

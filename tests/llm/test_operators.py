@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,43 @@ def test_language(spark, none, docs):
     assert language.fit(none) == {} and language.predict(none, dictionaries).count() == 0
 
 
+def test_language_by_compressing_afresh(spark):
+    """Every text against every dictionary, in blocks, with compressors made for each."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    teach = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select("doc_id", "text", "lang")
+    dictionaries = language.fit(teach)
+    got = {r.doc_id: r for r in QUERIES["op2_language_id"](spark, SF).collect()}
+    parameters = zstandard.ZstdCompressionParameters.from_level(5, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in docs.collect():
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        raw = r.text.lower().encode()
+        sizes = {}
+        for name, own in dictionaries.items():
+            coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+            sizes[name] = sum(len(coder.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        least = min(sizes.values())
+        assert sizes[g.lang_pred] == least
+        assert g.score == pytest.approx(1 / sum(math.exp(-min((x - least) * 8 / math.sqrt(len(raw)), 500)) for x in sizes.values()))
+
+
+def test_quality_margins_equal_the_sum_over_pairs():
+    draw = np.random.default_rng(3)
+    m = quality.Machine(0.3, draw.normal(0, 0.3, quality.SLOTS), draw.normal(0, 0.3, (quality.SLOTS, quality.RANK)))
+    texts = pa.array(["Some words, some MORE words! 12", None, "", "a b c " * 30], pa.string())
+    for lo, hi, row, slot, value in quality.features(texts, np.array([31.0, np.nan, 0.0, 180.0])):
+        for i, z in enumerate(quality.margins(m, hi - lo, row, slot, value)):
+            own = list(zip(slot[row == i], value[row == i]))
+            want = m.bias + sum(m.weights[a] * x for a, x in own)
+            want += sum(m.factors[a] @ m.factors[b] * x * y for k, (a, x) in enumerate(own) for b, y in own[:k])
+            assert z == pytest.approx(want)
+
+
 def test_quality(spark, none, docs):
     sf = "/root/testdata/sf0.1"
     found = QUERIES["op3_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
@@ -192,16 +230,38 @@ def test_chat_branches(spark):
     assert chat.format_trees(m, top=2).filter("tree = 't'").count() == 2 and chat.format_trees(m.limit(0)).count() == 0
 
 
+def test_chat_cycles_give_no_path(spark):
+    """A bare cycle, a leaf and a chain that hang on one, a message that answers itself, beside a tree and a deep chain."""
+    links = [(1, 2), (2, 1), (3, 1), (4, 3), (5, 5), (6, None), (7, 6), (8, 6), *((i, i - 1 if i > 100 else None) for i in range(100, 150))]
+    m = spark.createDataFrame([("t", i, p, "user", f"m{i}", float(i)) for i, p in links], "tree string, id long, parent long, role string, text string, score double")
+    assert sorted((r.leaf, r.id, r.up) for r in chat.paths(m).collect()) == sorted([(7, 7, 0), (7, 6, 1), (8, 8, 0), (8, 6, 1), *((149, i, 149 - i) for i in range(100, 150))])
+    assert chat.paths(m.filter("id < 3")).count() == 0 and chat.paths(m.filter("id < 6")).count() == 0
+    best = chat.format_trees(m, top=9).orderBy("rank").collect()
+    assert [(r.leaf, r.n_messages) for r in best] == [(149, 50), (8, 2), (7, 2)]
+
+
 def test_bpe(docs, none):
     long = ("word " * 40000 + "x" * 3000 + "  \n 12").strip()
     assert "".join(bpe.pieces(long)) == long and len(bpe.pieces(long)) > 2
     encoder = bpe.encoding()
     assert [i for p in bpe.pieces(long) for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(long)
+    once = {(r.doc_id, r.text): r for r in bpe.encode(docs, decoded="back").collect()}
     for r in bpe.decode(bpe.encode(docs)).collect():
+        assert (once[r.doc_id, r.text].token_ids, once[r.doc_id, r.text].back) == (r.token_ids, r.decoded)
         assert r.token_ids == encoder.encode_ordinary(r.text or "") and r.decoded == (r.text or "").encode()
     assert bpe.decode(bpe.encode(none)).count() == 0
 
 
+def test_bpe_query_digests(spark):
+    encoder, texts = bpe.encoding(), {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op7_byte_bpe"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = encoder.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_sharding(docs, none):
     rows = sharding.shuffle(docs, 3, seed=1, bucket_bytes=2000).collect()
     by = collections.defaultdict(list)
@@ -226,6 +286,24 @@ def test_sharding_does_not_depend_on_the_layout(spark, monkeypatch):
     assert all(f == found[0] for f in found)
 
 
+def test_sharding_query_and_files(spark, tmp_path):
+    """The query's columns from the documents alone, and files whose rows stand in the order of their slots."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op8_sharding"](spark, SF).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+        by[r.shard].append(r.slot)
+    assert sorted(r.doc_id for r in got) == sorted(texts) and set(by) == set(range(8))
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    mixed = sharding.shuffle(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), 3, seed=2, bucket_bytes=50_000)
+    sharding.write(mixed, str(tmp_path / "shards"))
+    for k in range(3):
+        slots = [r.slot for f in sorted((tmp_path / f"shards/shard={k}").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(len(slots)))
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(WORDS[5:25])), (2, "TWO words"), (3, None), (1, " ".join(WORDS[5:25])), (4, "")], "item_id long, text string")
     got = collections.defaultdict(list)
@@ -245,7 +323,8 @@ def brute_hits(text, items, width=13):
     for i, t in items:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
         n = min(width, len(w))
-        found = {(a, a + n) for s in range(len(w) - n + 1) for a in range(len(own) - n + 1) if n and own[a : a + n] == w[s : s + n]}
+        wanted = {tuple(w[s : s + n]) for s in range(len(w) - n + 1)} if n else set()
+        found = {(a, a + n) for a in range(len(own) - n + 1) if tuple(own[a : a + n]) in wanted}
         if found:
             out[i] = out.get(i, set()) | found
     return out, len(own)
@@ -304,22 +383,88 @@ def test_fingerprint(spark, docs, none):
     assert {r.doc_id: r.edited_sha256 for r in got} == want and all(0 <= r.near_edited <= 1 for r in got)
 
 
+def test_fingerprint_query_by_brute_force(spark):
+    """Sketches from hashes of every shingle, and likeness from the sketches, with one function of Spark as the hash."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = [(r.doc_id, r.text) for r in docs.orderBy(F.desc("doc_id")).collect()]
+    edited = {k: t[: len(t) - len(t) // 3] + rows[(i + 1) % len(rows)][1][: len(t) // 3] for i, (k, t) in enumerate(rows)}
+    words = {w for t in [*dict(rows).values(), *edited.values()] for w in low(t).encode().split()}
+    hashed = {bytes(r.w): r.h for r in spark.createDataFrame([(w.decode(), w) for w in words], "t string, w binary").select("w", F.xxhash64("t").alias("h")).collect()}
+    grams = {tuple(hashed[w] for w in x[i : i + 5]) for t in [*dict(rows).values(), *edited.values()] if len(x := low(t).encode().split()) >= 5 for i in range(len(x) - 4)}
+    of = {tuple(r)[:5]: r.g for r in spark.createDataFrame(list(grams), "a long, b long, c long, d long, e long").select("*", F.xxhash64("a", "b", "c", "d", "e").alias("g")).collect()}
+    short = {b" ".join(x) for t in [*dict(rows).values(), *edited.values()] if 0 < len(x := low(t).encode().split()) < 5}
+    few = {tuple(r.w): r.h for r in spark.createDataFrame([([hashed[w] for w in s.split()],) for s in short] or [([0],)], "w array<long>").select("w", F.xxhash64(F.array_join(F.col("w").cast("array<string>"), " ")).alias("h")).collect()}
+
+    def sketch(t):
+        x = tuple(hashed[w] for w in low(t).encode().split())
+        return sorted({of[x[i : i + 5]] for i in range(len(x) - 4)} if len(x) >= 5 else {few[x]} if x else set())[:128]
+
+    def like(a, b):
+        union = sorted({*a, *b})[:128]
+        return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
+
+    text = lambda s: "".join(f"{h & (1 << 64) - 1:016X}" for h in s)
+    own = {k: sketch(t) for k, t in rows}
+    got = {r.doc_id: r for r in QUERIES["op10_fingerprint"](spark, SF).collect()}
+    for i, (k, t) in enumerate(rows):
+        r, e = got[k], sketch(edited[k])
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(t), text(own[k]), text(e))
+        assert r.near_edited == pytest.approx(like(own[k], e)) and r.near_next == pytest.approx(like(own[k], own[rows[(i + 1) % len(rows)][0]]))
+
+
+HOSTILE = ["_h", "_b", "_k", "_w", "_p", "_g", "_d", "_gone", "_text", "_trains", "trains", "block", "payload", "size", "own_score", "score", "predicted", "id", "mark", "place", "k", "h", "w", "c0", "t0", "a`b", "a.b c", "kept", "n_words", "removed", "n_removed", "shard", "slot", "token_ids", "decoded", "sketch", "n_tokens", "lang_pred", "rejected"]
+
+
+@pytest.fixture(scope="module")
+def hostile(docs):
+    """The rows of docs, whole repeats included, with columns that have the names that operators use."""
+    return docs.select("doc_id", "text", "n_chars", *(F.lit(f"own {n}").alias(n) for n in HOSTILE))
+
+
+@pytest.mark.parametrize("name", ["language", "quality", "substring", "katz", "bpe", "sharding", "fingerprint", "one_of_each", "keep_clean", *range(4)])
+def test_other_columns_are_carried_along(spark, hostile, none, name):
+    bench = spark.createDataFrame([(1, "no such words"), (None, None)], "item_id long, text string")
+    replaced, outputs = {
+        "language": (lambda d: language.predict(d, {"en": b"w1 w2"}), ["lang_best", "lang_pred", "rejected", "score"]),
+        "quality": (lambda d: quality.score(d, quality.Machine(0.0, np.zeros(quality.SLOTS), np.zeros((quality.SLOTS, quality.RANK)))), ["score", "predicted"]),
+        "substring": (substring.dedup, ["n_words", "n_removed", "kept", "removed"]),
+        "katz": (lambda d: katz.score(d, F.lit(True)), ["n_tokens", "n_known", "train_tokens", "base_score", "score"]),
+        "bpe": (lambda d: bpe.decode(bpe.encode(d)), ["token_ids", "decoded"]),
+        "sharding": (lambda d: sharding.shuffle(d, 3, bucket_bytes=5000), ["shard", "slot"]),
+        "fingerprint": (fingerprint.sketch, ["sketch"]),
+        "one_of_each": (jaccard.one_of_each, []), "keep_clean": (lambda d: decontaminate.keep_clean(d, bench), []),
+    }.get(name) or (lambda d: __import__("corpus_pipeline").STAGES[name][1](spark, d, SF), [])
+    out = replaced(hostile)
+    if isinstance(name, int) or name in ("one_of_each", "keep_clean"):
+        assert out.columns == hostile.columns
+    rows = out.collect()
+    for n in HOSTILE:
+        if n not in outputs:
+            assert {r[n] for r in rows} <= {f"own {n}"}, n
+    ids = collections.Counter(r.doc_id for r in rows)
+    if name in ("one_of_each", 1):
+        assert ids == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 1, 9: 1, 10: 1, 11: 1}
+    elif name != 0:
+        assert ids == collections.Counter(k for k, _ in ROWS)
+    assert replaced(hostile.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
-    """Each stage against a brute-force version over what came before it."""
+    """Each stage against a brute-force version over what came before it; the classifier's against the operator's scores."""
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for k, (name, stage) in enumerate(cp.STAGES):
         before = docs
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
-        kept[name] = docs
         if k < 4:
             assert docs.columns == before.columns
-        old = {r.doc_id: r.text for r in before.collect()}
-        new = {r.doc_id: r for r in docs.collect()}
-        assert set(new) <= set(old)
+        old, new = {r.doc_id: r.text for r in before.collect()}, {r.doc_id: r for r in docs.collect()}
+        if name == "quality_classifier":
+            scores = {r.doc_id: r for r in QUERIES["op3_quality"](spark, SF).collect()}
+            assert set(new) == {i for i in old if scores[i].score >= 0.7} and all((scores[i].predicted == 1) == (scores[i].score >= 0.7) for i in old)
         if name == "ngram_jaccard_join":
             sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in old.items() if (w := low(t).encode().split())}
             root = {i: i for i in old}
@@ -337,12 +482,23 @@ def test_pipeline_stages(spark, tmp_path):
                     if first.setdefault(tuple(w[s : s + 20]), (i, s)) != (i, s):
                         gone |= set(range(s, s + 20))
                 assert new[i].text == (b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else old[i])
+        if name == "benchmark_decontamination":
+            want = set()
+            for i, t in old.items():
+                found, n = brute_hits(t, items)
+                hit = len({p for spans in found.values() for a, b in spans for p in range(a, b)})
+                want |= set() if hit and 20 * hit >= n else {i}
+            assert set(new) == want
         if name == "byte_bpe":
             assert {i: r.token_ids for i, r in new.items()} == {i: bpe.encoding().encode_ordinary(t) for i, t in old.items()}
-    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in cp.STAGES:
-        assert stage(spark, empty, SF).count() == 0
-    assert zlib.crc32(b"1") % 4 in range(4)
+            assert all(r.decoded_sha256 == hashlib.sha256(old[i].encode()).hexdigest() for i, r in new.items())
+
+
+def test_results_do_not_depend_on_parts_or_blocks(spark, docs, monkeypatch):
+    of = lambda: (sorted(map(str, jaccard.join(docs).collect())), sorted(map(str, substring.dedup(docs).select("doc_id", "kept", "removed").collect())))
+    want = of()
+    monkeypatch.setattr(blk.pack, "__defaults__", (300, 700))
+    assert of() == want
 
 
 def test_hashes_do_not_depend_on_pieces(monkeypatch):
