@@ -272,9 +272,12 @@ def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node with a link. Alternating large and small stars; each
-    round is written to the shared folder, and the number of rounds follows the logarithm of the longest path."""
+    round is written to the shared folder, and the number of rounds follows the logarithm of the longest path. A round that
+    changes nothing is the last one, which a count and a hash of all (distinct) edges tell."""
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(7), "u"))).first())
     edges = common.cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = state(edges)
     while True:
         least = both(edges).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both(edges).filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -282,11 +285,10 @@ def components(links: DataFrame) -> DataFrame:
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least, "u")
         after = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = common.cut(after)
-        changed = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if changed:
+        edges = common.cut(after)
+        if (now := state(edges)) == before:
             break
+        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -308,10 +310,10 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int
 
     # A list's head and length are partial sums, joined back to it, so that a long list is nowhere whole in one task.
     posted = profile.filter("key IS NOT NULL").groupBy("light", "key", "sig").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    posted = common.cut(posted.join(nodes.select("sig", "node"), "sig").drop("sig"))
+    posted = posted.join(nodes.select("sig", "node"), "sig").drop("sig")
     first = F.struct(F.when(F.col("light"), F.col("n")).alias("size"), "node", "n", "at")
     heads = posted.groupBy("light", "key").agg(F.min(first).alias("head"), F.count("*").alias("of"), F.bool_or(_early(percent)).alias("any"))
-    lists = posted.join(heads.filter("of > 1 AND (light OR any)").drop("of", "any"), ["light", "key"])
+    lists = common.cut(posted.join(heads.filter("of > 1 AND (light OR any)").drop("of", "any"), ["light", "key"]))
 
     ranked = lists.filter("node <> head.node").withColumn("own", F.struct("node", "n", "at"))
     enough = percent * (F.col("head.n") + F.col("n")) <= F.col("at") * (100 + percent)

@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furlong.llm import _common as common
+from furlong.llm._blocks import release
 from furlong.llm._words import Words, slices
 
 BITS = 14
@@ -96,8 +98,9 @@ def train(row: np.ndarray, slot: np.ndarray, value: np.ndarray, label: np.ndarra
     draw = np.random.default_rng(seed)
     m = Machine(0.0, np.zeros(SLOTS), draw.normal(0, 0.02, (SLOTS, RANK)))
     n = len(label)
-    order = np.argsort(row, kind="stable")
-    row, slot, value = row[order], slot[order], value[order]
+    if (row[1:] < row[:-1]).any():
+        order = np.argsort(row, kind="stable")
+        row, slot, value = row[order], slot[order], value[order]
     begin = np.searchsorted(row, np.arange(n + 1))
     theta = np.concatenate([m.weights[:, None], m.factors], 1)
     first, second, step = np.zeros_like(theta), np.zeros_like(theta), 0
@@ -105,7 +108,7 @@ def train(row: np.ndarray, slot: np.ndarray, value: np.ndarray, label: np.ndarra
         for some in np.array_split(draw.permutation(n), max(1, n // batch)):
             at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
             r = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
-            s, x = slot[at], value[at]
+            s, x = slot[at], value[at].astype(float)
             t = theta[s]
             term = t[:, 1:] * x[:, None]
             sums = np.stack([np.bincount(r, term[:, f], len(some)) for f in range(RANK)], 1)
@@ -149,7 +152,10 @@ def _learn(some: DataFrame, text: str, label: str, key: str, chars: str, rows: i
         return Machine(0.0, np.zeros(SLOTS), np.zeros((SLOTS, RANK)))
     slots, values = found.column("slots").combine_chunks(), found.column("values").combine_chunks()
     counts = np.diff(slots.offsets.to_numpy())
-    return train(np.repeat(np.arange(n), counts), slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), found.column("y").to_numpy())
+    machine = train(np.repeat(np.arange(n, dtype=np.int32), counts), slots.flatten().to_numpy(), values.flatten().to_numpy(), found.column("y").to_numpy())
+    del found, slots, values
+    release()
+    return machine
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", chars: str = "n_chars", rows: int = 8000) -> Machine:
@@ -172,8 +178,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", chars: str = "n_c
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, score double, predicted int")
+    return common.map_in_arrow(base, run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Machine:
