@@ -10,7 +10,8 @@ A history all of whose counts are above five gives up 1/(N+1).
 The tables of counts are partitioned by hashes of the history; the few histories that make up a 500th of all tokens or more
 are dealt by the whole n-gram. Blocks of documents ask for what their own distinct n-grams need (see _blocks), one order
 after the other. An answer tells too whether any other block has asked for the same n-gram: if none has, all there is to
-know of it as a history is in the block itself, and isn't sent. Then every token is evaluated recursively: an n-gram that
+know of it as a history is in the block itself, and isn't sent. Backoff weights are sent for histories that the block has an
+unseen n-gram of; the others' counts are those of the lower order. Then every token is evaluated recursively: an n-gram that
 was seen by its discounted count, another by the backoff weight of its history times the lower order.
 
 Cases: NULL and empty texts have one token, the end. With no training text every token has probability one (score 0).
@@ -203,10 +204,15 @@ class Block:
             g.count[own], g.only[own] = blk.from_planes(raw, n, WIDE), blk.from_planes(raw, n, 1, WIDE * n) > 0
             if learned:
                 begin = own[np.flatnonzero(np.diff(g.history[own], prepend=-1))]
-                m = len(begin)
-                sums = np.column_stack([blk.from_planes(raw, m, WIDE, (WIDE + 1) * n + j * WIDE * m) for j in range(SUMS)]).astype(float)
+                h, m = g.history[begin], len(begin)
+                flags = blk.from_planes(raw, m, 1, (WIDE + 1) * n)
+                # A history's count is its own as an n-gram; without unseen ones all that matters is whether discounts free any.
+                out[0][h], out[1][h] = np.append(self.grams[-2].count, 0)[h], (flags & np.uint64(1)).astype(float)
+                told = h[flags > 1]
+                k = len(told)
+                sums = np.column_stack([blk.from_planes(raw, k, WIDE, (WIDE + 1) * n + m + j * WIDE * k) for j in range(SUMS)]).astype(float)
                 for x, y in zip(out, of_sums(sums, *learned[1:]), strict=True):
-                    x[g.history[begin]] = y
+                    x[told] = y
         if learned:
             inside = np.flatnonzero(local)
             which, group = np.unique(g.history[inside], return_inverse=True)
@@ -289,15 +295,16 @@ def _count_grams(parts: int):
 
         if p >= parts:
             return _reply([], p, [], [(0, [*np.sum([np.frombuffer(b, "<i8") for b in blobs], 0), *[0] * (SUMS - GOOD_TURING - 1)])])
-        h, w, times, lower, heads, hot, sizes, tops = [], [], [], [], [], [], [], []
+        h, w, times, lower, heads, hot, lengths = [], [], [], [], [], [], []
         for b in blobs:
             n, m = map(int, np.frombuffer(b, "<u4", 2))
             raw = zstandard.decompress(b[8:])
             count, rank, part, own, low = (blk.from_planes(raw, n, wide, at * n) for wide, at in ((WIDE, 0), (WIDE, WIDE), (4, 2 * WIDE), (WIDE, 2 * WIDE + 4), (WIDE, 3 * WIDE + 4)))
             at = (4 * WIDE + 4) * n
             top = blk.from_planes(raw, m, KEY, at)
-            h.append(np.repeat(top, blk.from_planes(raw, m, WIDE, at + KEY * m).astype(np.int64))), w.append(mix(count ^ mix(rank << np.uint64(24) | part)))
-            times.append(own.astype(np.int64)), lower.append(low.astype(np.int64)), heads.append(top), hot.append(blk.from_planes(raw, m, 1, at + (KEY + WIDE) * m) > 0), sizes.append(n), tops.append(m)
+            lengths.append(blk.from_planes(raw, m, WIDE, at + KEY * m).astype(np.int64))
+            h.append(np.repeat(top, lengths[-1])), w.append(mix(count ^ mix(rank << np.uint64(24) | part)))
+            times.append(own.astype(np.int64)), lower.append(low.astype(np.int64)), heads.append(top), hot.append(blk.from_planes(raw, m, 1, at + (KEY + WIDE) * m) > 0)
         heads, hot = np.concatenate(heads), np.concatenate(hot)
         h, w, times, lower = map(np.concatenate, (h, w, times, lower))
         order = np.argsort(mix(h) + w)  # one sort: equal n-grams meet, and different ones differ by 64 bits
@@ -311,11 +318,14 @@ def _count_grams(parts: int):
         del h, w, times, lower, order, new
         sums = sums_of(group, len(own), count, low)
         where = np.searchsorted(own, heads)
-        ends, heads_end = np.cumsum([0, *sizes]), np.cumsum([0, *tops])
+        frees = sums[:, 1 : GOOD_TURING + 1].any(1)
+        ends, heads_end = np.cumsum([0, *(x.sum() for x in lengths)]), np.cumsum([0, *map(len, lengths)])
         back = []
-        for i in range(len(blobs)):
-            x, g = sums[where[heads_end[i] : heads_end[i + 1]]].astype(np.int64), gram[ends[i] : ends[i + 1]]
-            back.append(blk.zip_bytes(blk.planes(count[g], WIDE) + blk.planes(askers[g] == 1, 1) + b"".join(blk.planes(x[:, j], WIDE) for j in range(SUMS))))
+        for i, runs in enumerate(lengths):
+            head, g = where[heads_end[i] : heads_end[i + 1]], gram[ends[i] : ends[i + 1]]
+            unseen = np.add.reduceat(count[g] == 0, np.cumsum(runs) - runs, dtype=np.int64) > 0
+            x = sums[head[unseen]].astype(np.int64)
+            back.append(blk.zip_bytes(blk.planes(count[g], WIDE) + blk.planes(askers[g] == 1, 1) + blk.planes(frees[head] + 2 * unseen, 1) + b"".join(blk.planes(x[:, j], WIDE) for j in range(SUMS))))
         warm = np.unique(where[hot])
         return _reply(block, p, back, [(0, [*_types(count), *[0] * (SUMS - GOOD_TURING - 1)]), *((int(own[i]), sums[i]) for i in warm)])
 
