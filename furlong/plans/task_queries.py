@@ -140,5 +140,4 @@ def feature_vectors(spark, sf_dir):
 
 @_register()
 def train_rounds(spark, sf_dir):
-    # A round is ten iterations of the optimiser over all training rows, so 20 of them are more work than as many epochs.
-    return tasks.train_task("top3", records(spark, sf_dir), modeling.TrainConfig(epochs=20), _NUMERIC, ["surface"], iterations=10)[1]
+    return tasks.train_task("top3", records(spark, sf_dir), modeling.TrainConfig(epochs=8), _NUMERIC, ["surface"])[1]
