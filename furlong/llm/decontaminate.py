@@ -90,7 +90,8 @@ def _hits(docs: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], doc_id
     wanted = common.cut(wanted.groupBy("_k", "_h").agg(F.collect_list(F.struct("item_id", "w", "n", "shifts")).alias("to")))
     small = wanted.select("_k", "_h")
     some = _keyed(docs, doc_id, text).join(_bounded(small, 0), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
-    found = some.join(wanted, ["_k", "_h"]).select("_k", "_h", words(F.col("_t")).alias("d"), "to")
+    # Few bytes, but much work: dealt to as many tasks as any shuffle, not to as few as the bytes would fit.
+    found = some.join(wanted, ["_k", "_h"]).repartition(common.parallelism(docs.sparkSession), "_k", "_h").select("_k", "_h", words(F.col("_t")).alias("d"), "to")
 
     def spans(t: Column, shift: Column) -> Column:
         """Where windows of one item begin that the document has at one shift."""
