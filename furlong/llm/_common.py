@@ -17,20 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, without their lineage.
+def shared(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all machines reach.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (a local session, as in tests) is one made.
+    It is the session's spark.checkpoint.dir; only where that is unset (a local session, as in tests) is one made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not shared:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(shared)
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, without their lineage."""
+    spark = df.sparkSession
+    shared(spark)
     # Rows of text, or of packed blocks, are large: batches for Python are bounded by bytes rather than by their usual rows.
     before = spark.conf.get(BATCH_BYTES[0], None)
     spark.conf.set(*BATCH_BYTES)
