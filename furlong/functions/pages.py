@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from furlong.functions.parse import SPACE
+
+#: The columns that hold where rows come from.
+URL_COLUMNS = ["source_url", "race_url", "url", "page_url", "request_url"]
+_URL = f"(?i)https?://[^{SPACE[1:-1]}<>'\"\\])]+"
 
 
 def extract_ids(html: Column, year: Column) -> Column:
@@ -22,14 +29,46 @@ def group_attribute(html: Column, date: Column) -> Column:
 
 
 def normalise_charset(html: Column) -> Column:
-    """Declared character sets of meta tags are UTF-8, as the stored text is."""
-    return F.regexp_replace(html, r"(?i)(<meta\b[^>]*\bcharset\s*=\s*[\"']?)[^\"'\s/>;]+", "$1UTF-8")
+    """Declared character sets are UTF-8, as the stored text is: those of meta tags, then those within any content attribute."""
+    own = F.regexp_replace(html, r"(?i)(<meta\b[^>]*\bcharset\s*=\s*[\"']?)[^\"'\s/>]+", "$1UTF-8")
+    return F.regexp_replace(own, r"(?i)(content\s*=\s*[\"'][^\"']*?charset\s*=\s*)[^;\"'\s/>]+", "$1UTF-8")
 
 
 def urls(text: Column) -> Column:
-    """Distinct addresses in order of appearance, without punctuation at their ends."""
-    found = F.regexp_extract_all(text, F.lit("https?://[^\\s\"'<>]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[.,;:)\]}]+$", "")))
+    """Distinct addresses in order of appearance, in any case, without punctuation at their ends. White space of every kind,
+    quotes, angle brackets and closing brackets end one."""
+    found = F.regexp_extract_all(text, F.lit(_URL), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[.,;:!?、。】」』]+$", "")))
+
+
+def texts(value: Column, kind: T.DataType) -> Column:
+    """All texts in a value of this type, in order, as one array: those of structs, arrays and the values of maps, however deep
+    they are; other values count as they are written. NULLs are left out."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StructType):
+        parts = [texts(value.getField(f.name), f.dataType) for f in kind.fields]
+        return F.concat(*parts) if parts else none
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: texts(x, kind.elementType))), none)
+    if isinstance(kind, T.MapType):
+        return texts(F.map_values(value), T.ArrayType(kind.valueType))
+    return F.when(value.isNotNull(), F.array(value.cast("string"))).otherwise(none)
+
+
+def nested_urls(value: Column, kind: T.DataType) -> Column:
+    """The addresses in all texts of a value, distinct, in order of appearance."""
+    return F.array_distinct(F.flatten(F.transform(texts(value, kind), urls)))
+
+
+def source_urls(df: DataFrame) -> Column:
+    """The addresses in those of the URL_COLUMNS that df has, column by column."""
+    own = [F.coalesce(nested_urls(F.col(n), df.schema[n].dataType), F.array().cast("array<string>")) for n in URL_COLUMNS if n in df.columns]
+    return F.array_distinct(F.concat(*own)) if own else F.array().cast("array<string>")
+
+
+def race_id_count(html: Column) -> Column:
+    """How many distinct numbers of just 12 digits a page has."""
+    return F.size(F.array_distinct(F.regexp_extract_all(html, F.lit("(?<![0-9])[0-9]{12}(?![0-9])"), F.lit(0)))).cast("long")
 
 
 def normalise_headers(header: Column) -> Column:

@@ -7,15 +7,18 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furlong.functions.names import exact, fresh
+
 
 def upsert_records(existing: DataFrame, incoming: DataFrame, run_id: str, dataset_type: str) -> DataFrame:
     """existing without the rows whose (race_id, horse_id or '', dataset_type) comes in, and all of incoming, stamped.
 
     Duplicates within incoming all stay; a NULL race_id replaces nothing."""
     stamped = incoming.withColumns({"dataset_type": F.lit(dataset_type), "collection_run_id": F.lit(run_id)})
-    key = lambda d: d.withColumn("_h", F.coalesce("horse_id", F.lit("")))
-    keys = key(stamped).select("race_id", "_h", "dataset_type").distinct()
-    kept = key(existing).join(keys, ["race_id", "_h", "dataset_type"], "left_anti").select(*existing.columns)
+    h = fresh("h", existing.columns, stamped.columns)
+    key = lambda d: d.withColumn(h, F.coalesce("horse_id", F.lit("")))
+    keys = key(stamped).select("race_id", h, "dataset_type").distinct()
+    kept = key(existing).join(keys, ["race_id", h, "dataset_type"], "left_anti").select(*map(exact, existing.columns))
     return kept.unionByName(stamped, allowMissingColumns=True)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.functions import pages as page_functions
 from furlong.functions import parse
 from furlong.operators import history, maintenance, modeling, summary
 from furlong.sources.records import RECORDS_SQL, conform, load_records, records, table
@@ -303,7 +304,7 @@ def fn_body_weight(spark, sf_dir):
     return _texts(spark, sf_dir).select("p_partkey", *parse.body_weight(F.col("b")))
 
 
-@_register("""SELECT page_id, trim(regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM pages""", False)
+@_register(f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;|&#160;', ' ', 'g'), '{parse.SPACE}+', ' ', 'g')) AS body FROM pages""", False)
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parse.html_to_text(F.col("html")).alias("body"))
 
@@ -313,10 +314,14 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(parse.links(F.col("html"))).alias("link"))
 
 
-@_register("""SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, CAST(len(list_distinct(regexp_extract_all(html, '[0-9]{4}'))) AS BIGINT) AS n_ids FROM pages""", False)
+@_register("""WITH p AS (SELECT page_id, html || (202401000000 + page_id) || ' ' || (202401000000 + page_id) || ' 1' || (202402000000 + page_id) || 'x' || (202403000000 + page_id // 2) AS html FROM pages)
+SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '[0-9]+'), lambda x: len(x) = 12))) AS BIGINT) AS n_ids FROM p""", False)
 def page_diagnostics(spark, sf_dir):
-    ids = F.array_distinct(F.regexp_extract_all("html", F.lit("[0-9]{4}"), F.lit(0)))
-    return table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.size(ids).cast("long").alias("n_ids"))
+    """The pages with some ids put in: one twice, one with a digit too many."""
+    number = lambda first, k: F.expr(f"cast({first} + {k} as string)")
+    one = number(202401000000, "page_id")
+    html = F.concat("html", one, F.lit(" "), one, F.lit(" 1"), number(202402000000, "page_id"), F.lit("x"), number(202403000000, "page_id div 2"))
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html")).select("page_id", F.length("html").cast("long").alias("n_chars"), page_functions.race_id_count(F.col("html")).alias("n_ids"))
 
 
 @_register("SELECT user_id, event_type, max((ts, value))[1] AS last_ts, max((ts, value))[2] AS last_value FROM events GROUP BY ALL".replace("max((ts, value))[1]", "max(ts)").replace("max((ts, value))[2]", "arg_max(value, (ts, value))"), False)
