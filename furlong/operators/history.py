@@ -2,37 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furlong.functions.names import exact, fresh
+from furlong.sources.shared import checkpointed
+
 FEATURES = ["prior_starts", "prior_win_rate", "prior_top3_rate", "prior_avg_finish", "prior_avg_odds", "days_since_last_race"]
 #: Fixed values for runners without a past.
 FILL = {"prior_win_rate": 0.0, "prior_top3_rate": 0.0, "prior_avg_finish": 9.0, "prior_avg_odds": 20.0, "days_since_last_race": 999.0}
 
 
-def entity():
+def entity() -> Column:
     return F.coalesce(F.col("horse_id"), F.col("horse_name"), F.lit("None"))
 
 
+def day_number() -> Column:
+    return F.datediff("race_date", F.lit("1970-01-01").cast("date"))
+
+
+_ORDER = ("race_date", "race_id", "horse_number")
+#: What is summed up over a runner's past: name to (value, whether a missing one counts as 0).
+_SUMS = {
+    "wins": lambda: F.coalesce((F.col("finish_position") == 1).cast("double"), F.lit(0.0)),
+    "tops": lambda: (F.col("finish_position") <= 3).cast("double"),
+    "finish": lambda: F.col("finish_position").cast("double"),
+    "odds": lambda: F.col("odds").cast("double"),
+}
+#: The sum that each mean is made of.
+_MEANS = {"prior_win_rate": "wins", "prior_top3_rate": "tops", "prior_avg_finish": "finish", "prior_avg_odds": "odds"}
+
+
+def _is_top3() -> Column:
+    return F.when(F.col("finish_position") <= 3, 1.0).when(F.col("finish_position").isNotNull(), 0.0).alias("is_top3")
+
+
+def _kept(df: DataFrame) -> list[str]:
+    """The columns of df that aren't replaced by a feature."""
+    return [n for n in df.columns if n not in (*FEATURES, "is_top3")]
+
+
 def historical_features(df: DataFrame) -> DataFrame:
-    """df with the features and is_top3. One order, so one exchange, one sort and one window node. Frames end before the
-    row. A missing finish counts as no win, and is left out of top-three rate and average finish."""
-    by = Window.partitionBy("_k").orderBy(F.asc_nulls_last("race_date"), F.asc_nulls_last("race_id"), F.asc_nulls_last("horse_number"))
+    """df with the features and is_top3, which replace columns of these names. One order, so one exchange, one sort and one
+    window node. Frames end before the row. A missing finish counts as no win, and is left out of top-three rate and average
+    finish. Rows of one runner are one task; where one may have very many (those without id and name are one), use
+    ``historical_features_segmented``."""
+    k = fresh("k", df.columns)
+    by = Window.partitionBy(k).orderBy(*(F.asc_nulls_last(c) for c in _ORDER))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    finish = F.col("finish_position")
-    mean = lambda x, name: F.coalesce(F.avg(x).over(before), F.lit(FILL[name])).alias(name)
-    return df.withColumn("_k", entity()).select(
-        *df.columns,
-        F.when(finish <= 3, 1.0).when(finish.isNotNull(), 0.0).alias("is_top3"),
+    return df.withColumn(k, entity()).select(
+        *map(exact, _kept(df)),
+        _is_top3(),
         (F.row_number().over(by) - 1).cast("double").alias("prior_starts"),
-        mean(F.coalesce((finish == 1).cast("double"), F.lit(0.0)), "prior_win_rate"),
-        mean((finish <= 3).cast("double"), "prior_top3_rate"),
-        mean(finish, "prior_avg_finish"),
-        mean(F.col("odds"), "prior_avg_odds"),
+        *(F.coalesce(F.avg(_SUMS[s]()).over(before), F.lit(FILL[n])).alias(n) for n, s in _MEANS.items()),
         F.coalesce(F.datediff("race_date", F.lag("race_date").over(by)).cast("double"), F.lit(FILL["days_since_last_race"])).alias("days_since_last_race"),
     )
 
 
+def historical_features_segmented(df: DataFrame, segments: int | None = None) -> DataFrame:
+    """The same rows as ``historical_features``, for runners with any number of rows.
+
+    All rows are dealt in ranges of (runner, order), so a runner with many rows is many segments. Within each segment sums run
+    as ever; what a runner has in the segments before it is a row for each segment that goes on with a runner of another one,
+    at most one a segment, so these offsets are broadcast. segments: 16 for each shuffle partition, by default."""
+    spark = df.sparkSession
+    segments = segments or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k, seg, off = fresh("k", df.columns), fresh("segment", df.columns), fresh("before", df.columns)
+    order = [F.asc_nulls_last(c) for c in _ORDER]
+    dealt = df.withColumn(k, entity()).repartitionByRange(segments, F.col(k), *order).withColumn(seg, F.spark_partition_id())
+    dealt = checkpointed(dealt)  # the segments are read twice and have to be the same ones
+    total = dealt.groupBy(k, seg).agg(F.count("*").alias("rows"), F.max("race_date").alias("last"), *(F.sum(x()).alias(f"s_{n}") for n, x in _SUMS.items()), *(F.count(x()).alias(f"n_{n}") for n, x in _SUMS.items()))
+    ahead = Window.partitionBy(k).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
+    names = ["rows", *(f"{p}_{n}" for n in _SUMS for p in "sn")]
+    offsets = total.select(k, seg, F.struct(*(F.sum(n).over(ahead).alias(n) for n in names), F.max("last").over(ahead).alias("last")).alias(off)).filter(F.col(f"{off}.rows").isNotNull())
+    by = Window.partitionBy(seg, k).orderBy(*order)
+    own = by.rowsBetween(Window.unboundedPreceding, -1)
+    more = lambda c: F.coalesce(F.col(f"{off}.{c}"), F.lit(0))
+
+    def mean(name: str) -> Column:
+        x = _SUMS[_MEANS[name]]()
+        n = F.count(x).over(own) + more(f"n_{_MEANS[name]}")
+        return F.when(n > 0, (F.coalesce(F.sum(x).over(own), F.lit(0.0)) + more(f"s_{_MEANS[name]}")) / n).otherwise(FILL[name]).alias(name)
+
+    last = F.when(F.row_number().over(by) > 1, F.lag("race_date").over(by)).otherwise(F.col(f"{off}.last"))
+    return dealt.join(F.broadcast(offsets), [k, seg], "left").select(
+        *map(exact, _kept(df)),
+        _is_top3(),
+        (F.row_number().over(by) - 1 + more("rows")).cast("double").alias("prior_starts"),
+        *map(mean, _MEANS),
+        F.coalesce(F.datediff("race_date", last).cast("double"), F.lit(FILL["days_since_last_race"])).alias("days_since_last_race"),
+    )
+
+
 def training_frame(df: DataFrame) -> DataFrame:
     """Features first, then only rows with an outcome; target_top3."""
     return historical_features(df).filter(F.col("finish_position").isNotNull()).withColumn("target_top3", (F.col("finish_position") <= 3).cast("int"))
@@ -43,26 +104,23 @@ def prediction_frame(history: DataFrame, upcoming: DataFrame, strict: bool = Tru
     of runners that are upcoming is sorted."""
     if strict:
         history = history.join(upcoming.select("race_id").distinct(), "race_id", "left_anti")
-    runners = upcoming.select(entity().alias("_k")).distinct()
-    own = history.withColumn("_k", entity()).join(runners, "_k", "left_semi").drop("_k")
-    both = own.withColumn("_u", F.lit(0)).unionByName(upcoming.withColumns({"_u": F.lit(1), "finish_position": F.lit(None).cast("double")}), allowMissingColumns=True)
-    return historical_features(both).filter("_u = 1").drop("_u")
+    k, u = fresh("k", history.columns, upcoming.columns), fresh("u", history.columns, upcoming.columns)
+    runners = upcoming.select(entity().alias(k)).distinct()
+    own = history.withColumn(k, entity()).join(runners, k, "left_semi").drop(k)
+    both = own.withColumn(u, F.lit(0)).unionByName(upcoming.withColumns({u: F.lit(1), "finish_position": F.lit(None).cast("double")}), allowMissingColumns=True)
+    return historical_features(both).filter(F.col(u) == 1).drop(u)
 
 
 def asof_features(df: DataFrame) -> DataFrame:
     """df with the same features from days strictly before the row's own, for every race in one pass."""
-    days = Window.partitionBy("_k").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    finish = F.col("finish_position")
-    mean = lambda x, name: F.coalesce(F.avg(x).over(days), F.lit(FILL[name])).alias(name)
-    dated = df.filter(F.col("race_date").isNotNull()).withColumns({"_k": entity(), "_d": F.datediff("race_date", F.lit("1970-01-01").cast("date"))})
+    k, d = fresh("k", df.columns), fresh("d", df.columns)
+    days = Window.partitionBy(k).orderBy(d).rangeBetween(Window.unboundedPreceding, -1)
+    dated = df.filter(F.col("race_date").isNotNull()).withColumns({k: entity(), d: day_number()})
     return dated.select(
-        *df.columns,
+        *map(exact, [n for n in df.columns if n not in FEATURES]),
         F.count("*").over(days).cast("double").alias("prior_starts"),
-        mean(F.coalesce((finish == 1).cast("double"), F.lit(0.0)), "prior_win_rate"),
-        mean((finish <= 3).cast("double"), "prior_top3_rate"),
-        mean(finish, "prior_avg_finish"),
-        mean(F.col("odds"), "prior_avg_odds"),
-        F.coalesce((F.col("_d") - F.max("_d").over(days)).cast("double"), F.lit(FILL["days_since_last_race"])).alias("days_since_last_race"),
+        *(F.coalesce(F.avg(_SUMS[s]()).over(days), F.lit(FILL[n])).alias(n) for n, s in _MEANS.items()),
+        F.coalesce((F.col(d) - F.max(d).over(days)).cast("double"), F.lit(FILL["days_since_last_race"])).alias("days_since_last_race"),
     )
 
 

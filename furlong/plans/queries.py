@@ -329,4 +329,4 @@ def latest_snapshot_per_user(spark, sf_dir):
     return latest_snapshot(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "value")
 
 
-from furlong.plans import more_queries, page_queries, task_queries  # noqa: E402, F401  (they register their own here)
+from furlong.plans import more_queries, page_queries, table_queries, task_queries  # noqa: E402, F401  (they register their own here)

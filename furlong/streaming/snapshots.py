@@ -1,19 +1,95 @@
-"""Streams: the latest snapshot of a value per key, and idempotent ingest of arriving files."""
+"""Streams: the latest snapshot of a value per key, and pages that arrive as files."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from furlong.operators import extract
+from furlong.sources import facts, files
 
 
 def latest_snapshot(events: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
-    """The last value of each key; equal times: the larger value. Works on batches and (with complete or update output) streams."""
+    """The last value of each key; equal times: the larger value. Works on batches and (with complete or update output) streams,
+    where it remembers every key for good; ``latest_stream`` doesn't."""
     last = F.max(F.struct(ts, value))
     return events.groupBy(*keys).agg(last.getField(ts).alias(f"last_{ts}"), last.getField(value).alias(f"last_{value}"))
 
 
+def latest_stream(events: DataFrame, keys: list[str], ts: str, value: str, delay: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
+    """A stream of what became the last value of a key: keys, last_<ts>, last_<value>, for update output. A sink that replaces by
+    key holds the same rows as ``latest_snapshot`` of the events that weren't late.
+
+    Events that are more than ``delay`` behind the newest are late and dropped. A key's state is its last time and value, and
+    goes when the watermark is expire_ms beyond that time; a later event of the key begins anew, with a later time, as earlier
+    ones would be late. Older and repeated events change nothing; equal times: the larger value, a missing one is the smallest.
+    Events without a time are dropped."""
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    out = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField(f"last_{ts}", T.TimestampType()), T.StructField(f"last_{value}", kinds[value])])
+    state = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("value", kinds[value])])
+
+    def newest(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        before = held.getOption
+        best = before
+        order = lambda x: (x[0], x[1] is not None, x[1])
+        for batch in batches:
+            for t, v in zip(batch[ts], batch[value]):
+                new = (t.to_pydatetime(), None if pd.isna(v) else v)
+                if best is None or order(new) > order(best):
+                    best = new
+        if best is not None and best != before:
+            held.update(best)
+            yield pd.DataFrame([[*key, *best]], columns=out.names)
+        if best is not None:
+            at = pd.Timestamp(best[0])
+            at = at.tz_localize("UTC") if at.tz is None else at
+            held.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + expire_ms, held.getCurrentWatermarkMs() + 1))
+
+    watched = events.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(*keys, ts, value)
+    found = watched.groupBy(*keys).applyInPandasWithState(newest, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn(f"last_{ts}", F.col(f"last_{ts}").cast(kinds[ts]))
+
+
 def ingest(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]):
     """Runs what has arrived through ``write`` and stops; a repeated batch replaces its own rows when write is an upsert."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def page_stream(spark: SparkSession, root: str, dataset_type: str, kind: str = "result", files_a_batch: int = 1000) -> DataFrame:
+    """The saved pages of ``read_pages`` as they arrive under root/<dataset_type>/<year>/<kind>/."""
+    arriving = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.html").option("maxFilesPerTrigger", files_a_batch)
+    found = arriving.text(f"{root}/{dataset_type}/[0-9]*/{kind}")
+    return files.placed(found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified")))
+
+
+def ingest_pages(stream: DataFrame, table: str, checkpoint: str, dataset_type: str, run_id: str = "stream", dates: DataFrame | None = None, errors: str | None = None):
+    """Reads arriving pages into the table of runner rows, partition by partition, and stops when all that is there is in.
+
+    stream: what ``page_stream`` gives. dates: (race_id, race_date), else dates are NULL. Of several pages of a race in a batch
+    that with the last file name counts. A runner's rows are replaced by those of a later page of its race, so files that
+    come again, or a batch that does, change nothing. errors: a folder that gets (race_id, reason) of the pages without
+    runners, one subfolder a batch, which a repeated batch writes anew. Pages whose name has no race id are errors too."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.filter("race_id IS NOT NULL").groupBy("race_id").agg(F.max_by("html", "file_name").alias("html"))
+        dated = last.withColumn("race_date", F.lit(None).cast("date")) if dates is None else last.join(dates.select("race_id", "race_date"), "race_id", "left")
+        read = extract.read_races(dated.withColumn("dataset_type", F.lit(dataset_type))).persist()
+        try:
+            runners = extract.runners_of(read)
+            if not runners.isEmpty():
+                facts.upsert_facts(table, runners, f"{run_id}_{number}", dataset_type)
+            if errors:
+                nameless = batch.filter("race_id IS NULL").select("race_id", F.concat(F.lit("no race id: "), "file_name").alias("reason"))
+                extract.errors_of(read).unionByName(nameless).write.mode("overwrite").parquet(f"{errors}/batch={number}")
+        finally:
+            read.unpersist()
+
+    return ingest(stream, checkpoint, write)
