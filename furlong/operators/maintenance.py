@@ -45,3 +45,31 @@ def delete_rows(tables: dict[str, DataFrame], column: str, values: list[str], pr
         own = t.filter(matches(t[column], values, prefix)).agg(F.count("*").alias("deleted")).select(F.lit(n).alias("table_name"), "deleted").filter("deleted > 0")
         counts = own if counts is None else counts.unionByName(own)
     return {n: t.filter(~matches(t[column], values, prefix)) if n in having else t for n, t in tables.items()}, counts
+
+
+def values_with(values: DataFrame, wanted: DataFrame, prefix: bool = False) -> DataFrame:
+    """Those of the distinct texts (one column) that equal a wanted text (one column), or begin with one. A text is looked up by
+    each length that wanted texts have, so the plan depends on these lengths alone, not on how many texts are wanted."""
+    v, w = values.columns[0], wanted.columns[0]
+    own = values.select(exact(v).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
+    ids = wanted.select(exact(w).cast("string").alias("p")).filter("p IS NOT NULL").distinct()
+    if not prefix:
+        return own.join(ids, F.col("v") == F.col("p"), "left_semi")
+    lengths = [r.n for r in ids.select(F.length("p").alias("n")).distinct().collect()]
+    if not lengths:
+        return own.filter("false")
+    parts = own.select("v", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.substring(F.col("v"), F.lit(1), n)))).alias("p"))
+    return parts.join(ids, "p", "left_semi").select("v").distinct()
+
+
+def delete_joined(tables: dict[str, DataFrame], column: str, wanted: DataFrame, prefix: bool = False) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """What ``delete_rows`` does, for any number of wanted texts (one column): joins instead of literals in the plan."""
+    kept, counts = dict(tables), []
+    for n, t in tables.items():
+        if column not in t.columns:
+            continue
+        gone = values_with(t.select(column), wanted, prefix)
+        on = exact(column).cast("string") == F.col("v")
+        kept[n] = t.join(gone, on, "left_anti")
+        counts.append(t.join(gone, on, "left_semi").agg(F.count("*").alias("deleted")).select(F.lit(n).alias("table_name"), "deleted").filter("deleted > 0"))
+    return kept, functools.reduce(DataFrame.unionByName, counts) if counts else None

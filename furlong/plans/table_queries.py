@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from furlong.operators import history, standing
+from furlong.operators import history, maintenance, standing, summary
 from furlong.plans.queries import _ASOF, _FEATURES, _WINDOWS, ORACLE_SQL, _parts, _register
 from furlong.sources import facts
 from furlong.sources.records import records, table
@@ -61,3 +61,17 @@ def latest_stream_per_user(spark, sf_dir):
     query.awaitTermination()
     last = F.max(F.struct("last_ts", "last_value"))
     return spark.read.parquet(f"{path}/latest").groupBy("user_id", "event_type").agg(last.alias("x")).select("user_id", "event_type", "x.*")
+
+
+@_register("""SELECT r.race_id, r.horse_id FROM r WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 50 = 0 AND starts_with(race_id, CAST(c_custkey AS VARCHAR)))""")
+def delete_prefixes_joined(spark, sf_dir):
+    wanted = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select("c_custkey")
+    return maintenance.delete_joined({"races": records(spark, sf_dir)}, "race_id", wanted, prefix=True)[0]["races"].select("race_id", "horse_id")
+
+
+@_register("""SELECT year, p.n IS NOT NULL AS has_pages, has IS NOT NULL AS has_rows, coalesce(p.n, 0) AS n_pages FROM (SELECT CAST(year(o_orderdate) AS INTEGER) + 2 AS year, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) p
+FULL JOIN (SELECT DISTINCT CAST(year(race_date) AS INTEGER) AS year, true AS has FROM r WHERE dataset_type = 'historical') USING (year)""")
+def collected_years(spark, sf_dir):
+    """Years of finished orders, moved by two, stand for those of saved pages."""
+    pages = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy((F.year("o_orderdate") + 2).alias("year")).agg(F.count("*").alias("n_pages"))
+    return summary.collected_years(pages, records(spark, sf_dir))

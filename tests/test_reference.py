@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part", "pages", "events", "documents", "labels"):
+    for t in ("lineitem", "orders", "customer", "part", "pages", "events", "documents", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
