@@ -10,7 +10,7 @@ from furlong.functions.parse import SPACE
 
 #: The columns that hold where rows come from.
 URL_COLUMNS = ["source_url", "race_url", "url", "page_url", "request_url"]
-_URL = f"(?i)https?://[^{SPACE[1:-1]}<>'\"\\])]+"
+_URL = f"(?iU)https?://[^{SPACE}<>'\"\\])]+"
 
 
 def extract_ids(html: Column, year: Column) -> Column:

@@ -11,6 +11,9 @@ from furlong.operators import history, maintenance, modeling, summary
 from furlong.sources.records import RECORDS_SQL, conform, load_records, records, table
 from furlong.streaming.snapshots import latest_snapshot
 
+#: White space of every kind, within a class of DuckDB's regular expressions.
+SPACE_SQL = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -304,7 +307,7 @@ def fn_body_weight(spark, sf_dir):
     return _texts(spark, sf_dir).select("p_partkey", *parse.body_weight(F.col("b")))
 
 
-@_register(f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;|&#160;', ' ', 'g'), '{parse.SPACE}+', ' ', 'g')) AS body FROM pages""", False)
+@_register(f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;|&#160;', ' ', 'g'), '[{SPACE_SQL}]+', ' ', 'g')) AS body FROM pages""", False)
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parse.html_to_text(F.col("html")).alias("body"))
 
