@@ -8,8 +8,9 @@ Template: ``<turn ROLE>TEXT</turn>\\n`` for each message. In roles and texts a b
 ``\\l`` and ``>`` becomes ``\\g``, so a text can't hold a marker and ``unescape`` restores it exactly. The loss mask is the
 list of spans (start and length in code points of the formatted string) of the texts of assistant turns.
 
-Cases: a NULL text or role is empty; a NULL score counts as 0. A parent that isn't in the tree makes its reply a first
-message. Messages that share tree and id are kept apart by the caller, who numbers them. Equal scores: the path with the
+Cases: a NULL text or role is empty; a NULL score, or one that isn't a number, counts as 0. A parent that isn't in the tree
+makes its reply a first message. Of messages that share tree and id one stays: that with the highest score, then the smallest
+parent (NULL first), role and text. A message without an id is in no path, as nothing tells its repeats apart. Equal scores: the path with the
 greater depth, then the smaller leaf id, is ranked first. A tree id that is NULL is a tree of its own. Messages on a cycle,
 and those that hang on one, reach no root and are in no path. An empty table gives no conversation. Only the columns named
 are read.
@@ -69,7 +70,10 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
 
     messages: tree, id, parent, role, text, score; top: how many of the best paths of each tree. Texts move once the paths are
     chosen."""
-    m = messages.select(F.struct(F.col("tree").alias("v")).alias("tree"), "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
+    m = messages.filter(F.col("id").isNotNull()).select(F.struct(F.col("tree").alias("v")).alias("tree"), "id", "parent", "role", "text", score.alias("score"))
+    first = Window.partitionBy("tree", "id").orderBy(F.desc("score"), F.asc_nulls_first("parent"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    m = m.withColumn("repeat", F.row_number().over(first)).filter("repeat = 1").drop("repeat")
     way = paths(m)
     ranked = way.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("n_messages"))
     best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n_messages"), "leaf"))).filter(F.col("rank") <= top)

@@ -38,9 +38,9 @@ def merge(sketches: Column, k: int = K) -> Column:
 
 def merge_groups(df: DataFrame, by: list[str], column: str = "sketch", k: int = K, salts: int = 16) -> DataFrame:
     """One sketch for each group, in two steps: a hot group is first merged in parts."""
-    salt = F.pmod(F.xxhash64(F.col(column)), F.lit(salts))
-    parts = df.groupBy(*by, salt.alias("_s")).agg(merge(F.collect_set(column), k).alias(column))
-    return parts.groupBy(*by).agg(merge(F.collect_list(column), k).alias(column))
+    salt, keys = common.fresh("salt", by, [column]), [common.col(n) for n in by]
+    parts = df.groupBy(*keys, F.pmod(F.xxhash64(common.col(column)), F.lit(salts)).alias(salt)).agg(merge(F.collect_set(common.col(column)), k).alias(column))
+    return parts.groupBy(*keys).agg(merge(F.collect_list(common.col(column)), k).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -73,8 +73,10 @@ def with_next(df: DataFrame, key: str, add, parts: int, then: Column | None = No
     rows that share a key; rows that are equal in it too follow each other in any order.
 
     The keys are cut at quantiles into ranges, each one window; the head of a range is also dealt to the range before it,
-    as a ghost row that only ends its window. add: from (DataFrame, window) to DataFrame; runs over rows and ghosts."""
-    low = F.coalesce(F.col(key), F.lit(_FIRST))
+    as a ghost row that only ends its window. add: from (DataFrame, window, the name of a column that is 0 for rows and 1 for
+    ghosts) to DataFrame; runs over rows and ghosts."""
+    k, t, p, d, g = (common.fresh(f"_{n}", df.columns) for n in "ktpdg")
+    low = F.coalesce(common.col(key), F.lit(_FIRST))
     shares = [i / parts for i in range(1, parts)]
     found = df.select(low.alias("k")).agg(F.percentile_approx("k", shares, 20000) if shares else F.lit(None), F.min("k"), F.max("k")).first()
     if found[2] is None:
@@ -83,24 +85,24 @@ def with_next(df: DataFrame, key: str, add, parts: int, then: Column | None = No
         heads = sorted({*(found[0] or []), found[2]})
     last = len([h for h in heads if h >= (found[1] if found[1] is not None else 0)])
     bounds = F.array(*map(F.lit, heads)).cast("array<bigint>")
-    part = F.size(F.filter(bounds, lambda h: h >= F.col("_k")))
-    placed = df.withColumns({"_k": low, "_t": F.lit(0) if then is None else then}).withColumn("_p", part)
-    ghost = F.when(F.array_contains(bounds, F.col("_k")), F.when(F.col("_p") > 1, F.col("_p") - 1).otherwise(last))
-    dealt = placed.withColumn("_d", F.explode(F.filter(F.array(F.struct(F.col("_p").alias("p"), F.lit(0).alias("g")), F.struct(ghost.alias("p"), F.lit(1).alias("g"))), lambda x: x.p.isNotNull())))
-    dealt = dealt.withColumns({"_p": F.col("_d.p"), "_g": F.col("_d.g")}).drop("_d")
-    return add(dealt, Window.partitionBy("_p").orderBy("_g", F.desc("_k"), "_t")).filter("_g = 0").drop("_k", "_p", "_g", "_t")
+    part = F.size(F.filter(bounds, lambda h: h >= F.col(k)))
+    placed = df.withColumns({k: low, t: F.lit(0) if then is None else then}).withColumn(p, part)
+    ghost = F.when(F.array_contains(bounds, F.col(k)), F.when(F.col(p) > 1, F.col(p) - 1).otherwise(last))
+    dealt = placed.withColumn(d, F.explode(F.filter(F.array(F.struct(F.col(p).alias("p"), F.lit(0).alias("g")), F.struct(ghost.alias("p"), F.lit(1).alias("g"))), lambda x: x.p.isNotNull())))
+    dealt = dealt.withColumns({p: F.col(f"{d}.p"), g: F.col(f"{d}.g")}).drop(d)
+    return add(dealt, Window.partitionBy(p).orderBy(g, F.desc(k), t), g).filter(F.col(g) == 0).drop(k, p, g, t)
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
-    def add(rows: DataFrame, window) -> DataFrame:
+    def add(rows: DataFrame, window, ghost: str) -> DataFrame:
         n = F.length("text")
         cut = F.floor(n / 3).cast("int")
         edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.lead("text").over(window), F.lit(1), cut))
         rows = rows.withColumns({"edited": edited, "n_chars": n.cast("long")})
         rows = sketch(rows, "text").drop("text").withColumn("next", F.lead("sketch").over(window))
-        return sketch(rows.filter("_g = 0"), "edited", "edited_sketch")
+        return sketch(rows.filter(F.col(ghost) == 0), "edited", "edited_sketch")
 
     found = with_next(docs, "doc_id", add, 2 * common.parallelism(spark), F.xxhash64("text"))
     return found.select(

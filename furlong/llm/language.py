@@ -3,7 +3,8 @@
 Every language gets a raw-content zstandard dictionary, made of pieces of labelled texts. A text belongs to the language
 whose dictionary compresses it to the fewest bytes; where the runner-up needs hardly more, the text is rejected.
 
-Cases: a NULL text or one without a letter has no language (``und``, score 0). Equal sizes go to the first label in
+Cases: a NULL text or one without a letter (by ``str.isalpha``: signs like a superscript two or a Roman numeral are none) has no
+language (``und``, score 0). Equal sizes go to the first label in
 the order of the dictionaries, the most frequent first. Letters are lower-cased before compression. Rows without label, id or text teach nothing. With no labelled row at all every text is ``und``. Whole texts
 count: a long text is compressed in blocks, each against the dictionary alone, and the sizes are summed.
 """
@@ -11,7 +12,6 @@ count: a long text is compressed in blocks, each against the dictionary alone, a
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from furlong.llm import _common as common
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", pieces: int = 400, piece_chars: int = 400) -> dict[str, bytes]:
@@ -64,7 +63,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", l
             best, score, rejected = [], [], []
             for x in batch.column(batch.schema.get_field_index(text)):
                 own = x.as_py()
-                if not own or not labels or not _LETTER.search(own):
+                if not own or not labels or not any(map(str.isalpha, own)):
                     best.append(UNKNOWN), score.append(0.0), rejected.append(False)
                     continue
                 raw = own.lower().encode()

@@ -4,7 +4,7 @@ Pass one scatters the records uniformly into buckets that fit into memory, by a
 order with a seeded Fisher-Yates shuffle. A record's place in the whole order is its bucket's offset plus its place in the
 bucket; shard and slot follow from that place, so shard sizes differ by one row at most (the law ``rows``).
 
-Cases: NULLs hash like any value. Rows that are equal in every column would meet in one bucket; they are counted first, and
+Cases: NULLs hash like any value. Maps and variants count as equal where their JSON is. Rows that are equal in every column would meet in one bucket; they are counted first, and
 scattered by the row and an occurrence number from 0 (very many are dealt evenly over the buckets). A row's places so depend
 on the rows and the seed alone, not on the input's files, partitions or order. Only rows with counts move, so a large group
 of equal rows is no large task. An empty table gives an empty one. Columns named ``shard`` or ``slot`` are replaced. The
@@ -43,14 +43,19 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKE
     kinds = {f.name: f.dataType.simpleString() for f in fields}
     # Grouping takes -0.0 for 0.0 and folds collated strings: such columns are told apart by their text too.
     loose = [n for n in names if any(x in kinds[n] for x in ("float", "double", "collate"))]
+    # Maps and variants can't be grouped or hashed: their JSON stands for them.
+    odd = [n for n in names if "map<" in kinds[n] or "variant" in kinds[n]]
+    loose = [n for n in names if n in loose or n in odd]
     own = [f"c{i}" for i in range(len(names))]  # within the shuffle columns have names of its own
     base = df.select(*(common.col(n).alias(o) for n, o in zip(names, own, strict=True)))
     total = df.select(sum((_bytes(n, kinds[n]) for n in names), F.lit(64)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    texts = {f"t{names.index(n)}": F.col(own[names.index(n)]).cast("string") for n in loose}
-    keyed = base.withColumns({"h": F.xxhash64(F.lit(seed), *own, *texts.values()), "g": F.xxhash64(F.lit(seed + 2), *own, *texts.values()), **texts})
+    plain = [o for n, o in zip(names, own, strict=True) if n not in odd]
+    shown = lambda n, o: F.to_json(F.struct(o)) if n in odd else F.col(o).cast("string")
+    texts = {f"t{names.index(n)}": shown(n, own[names.index(n)]) for n in loose}
+    keyed = base.withColumns({"h": F.xxhash64(F.lit(seed), *plain, *texts.values()), "g": F.xxhash64(F.lit(seed + 2), *plain, *texts.values()), **texts})
     keep = [F.first(f"c{names.index(n)}").alias(f"v{names.index(n)}") for n in loose]
-    distinct = keyed.groupBy(*own, "h", "g", *texts).agg(F.count("*").alias("m"), *keep)
+    distinct = keyed.groupBy(*plain, "h", "g", *texts).agg(F.count("*").alias("m"), *keep)
     distinct = distinct.select(*(F.col(f"v{i}").alias(o) if n in loose else F.col(o) for i, (n, o) in enumerate(zip(names, own, strict=True))), "h", "g", "m")
     one = lambda i: F.pmod(F.xxhash64(F.lit(seed + 1), "h", i), F.lit(buckets)).cast("int")
     start = one(F.lit(-1).cast("long"))

@@ -508,3 +508,37 @@ def test_hashes_do_not_depend_on_pieces(monkeypatch):
     want = [s.tolist() for _, s in jaccard.sets(texts, 5)]
     monkeypatch.setattr(_words, "PIECE", 7)
     assert [s.tolist() for _, s in jaccard.sets(texts, 5)] == want
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    df = spark.createDataFrame([("\u00b2\u00bd \u2167",), ("12 _",), ("\u00aa",), ("\u65e5",)], "text string")
+    assert [r.lang_best for r in language.predict(df, {"en": b"w1 w2"}).collect()] == ["und", "und", "en", "en"]
+
+
+def test_chat_repeats_nan_and_missing_ids(spark):
+    """Rows that come twice, messages that share an id, scores that are no numbers, messages without an id."""
+    kind = "tree string, id long, parent long, role string, text string, score double"
+    chain = [("t", i, i - 1 if i else None, "user", f"m{i}", 1.0) for i in range(40)]
+    m = spark.createDataFrame(chain * 3, kind)
+    (r,) = chat.format_trees(m, top=9).collect()
+    assert r.n_messages == 40 and r.formatted.count("<turn ") == 40
+    shared = [("s", 1, None, "user", "b", 1.0), ("s", 1, None, "user", "a", 1.0), ("s", 1, None, "user", "0", 0.5), ("s", None, 1, "user", "lost", 9.0), ("s", 2, 1, "user", "nan", float("nan")), ("s", 3, 1, "user", "two", 0.5)]
+    got = [x.formatted for x in chat.format_trees(spark.createDataFrame(shared, kind), top=9).orderBy("rank").collect()]
+    assert got == ["<turn user>a</turn>\n<turn user>two</turn>\n", "<turn user>a</turn>\n<turn user>nan</turn>\n"]
+
+
+def test_sharding_of_maps_and_variants(spark):
+    rows = spark.createDataFrame([(1, {"a": 1}), (2, None), (1, {"a": 1}), (3, {})], "x int, m map<string, int>").withColumn("n", F.array(F.struct("m")))
+    rows = rows.withColumn("v", F.parse_json(F.lit('{"a": [1, 2]}')))
+    out = sharding.shuffle(rows, 2, seed=3)
+    assert out.columns == [*rows.columns, "shard", "slot"]
+    show = lambda df: sorted(str((r.x, r.m, r.n, r.j)) for r in df.select("x", "m", "n", F.to_json("v").alias("j")).collect())
+    assert show(out) == show(rows) and sorted((r.shard, r.slot) for r in out.select("shard", "slot").collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_fingerprints_of_groups_and_neighbours_with_any_names(spark, docs):
+    df = fingerprint.sketch(docs).select("sketch", *(F.lit(1).alias(n) for n in ("_s", "salt", "a`b")))
+    assert fingerprint.merge_groups(df, ["_s", "salt", "a`b"]).columns == ["_s", "salt", "a`b", "sketch"] and fingerprint.merge_groups(df, ["a`b"]).count() == 1
+    own = spark.range(5).select("id", *(F.lit("own").alias(n) for n in ("_k", "_t", "_p", "_d", "_g")))
+    out = fingerprint.with_next(own, "id", lambda rows, window, ghost: rows.withColumn("next", F.lead("id").over(window)), 2)
+    assert {r.id: r.next for r in out.collect()} == {4: 3, 3: 2, 2: 1, 1: 0, 0: 4} and all(r["_g"] == "own" for r in out.collect()) and out.columns == [*own.columns, "next"]
