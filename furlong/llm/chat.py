@@ -73,7 +73,7 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
     m = messages.filter(F.col("id").isNotNull()).select(F.struct(F.col("tree").alias("v")).alias("tree"), "id", "parent", "role", "text", score.alias("score"))
     first = Window.partitionBy("tree", "id").orderBy(F.desc("score"), F.asc_nulls_first("parent"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    m = m.withColumn("repeat", F.row_number().over(first)).filter("repeat = 1").drop("repeat")
+    m = common.cut(m.withColumn("repeat", F.row_number().over(first)).filter("repeat = 1").drop("repeat"))  # read four times below
     way = paths(m)
     ranked = way.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("n_messages"))
     best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n_messages"), "leaf"))).filter(F.col("rank") <= top)
