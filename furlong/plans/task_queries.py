@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from furlong.functions import labels
@@ -132,12 +131,11 @@ k AS (SELECT surface AS c, count(*) AS n FROM t GROUP BY 1), j AS (SELECT jockey
 SELECT race_id, horse_id, round((coalesce(s.odds, m.odds) - a) / d, 6) AS odds_scaled, CAST((k.n >= 2)::INTEGER + coalesce((j.n >= 1)::INTEGER, 0) AS DOUBLE) AS hot_slots FROM s LEFT JOIN k ON k.c = surface LEFT JOIN j ON j.c = jockey_id, m, f""")
 def feature_vectors(spark, sf_dir):
     s = modeling.chronological_split(records(spark, sf_dir)).select("race_id", "horse_id", "split", "odds", "surface", "jockey_id")
-    fitted = prepare.feature_pipeline(s.filter("split = 'train'"), ["odds"], _CATEGORICAL)
-    x = vector_to_array("features")
-    hot = F.aggregate(F.slice(x, F.lit(2), F.size(x) - 1), F.lit(0.0), lambda a, b: a + b)
-    return fitted.transform(s).select("race_id", "horse_id", F.round(F.get(x, F.lit(0)), 6).alias("odds_scaled"), hot.alias("hot_slots"))
+    fitted = prepare.fit_features(s.filter("split = 'train'"), ["odds"], _CATEGORICAL)
+    hot = F.size(F.filter("slots", lambda i: i.isNotNull())).cast("double")
+    return fitted.transform(s).select("race_id", "horse_id", F.round(F.get("numbers", F.lit(0)), 6).alias("odds_scaled"), hot.alias("hot_slots"))
 
 
 @_register()
 def train_rounds(spark, sf_dir):
-    return tasks.train_task("top3", records(spark, sf_dir), modeling.TrainConfig(epochs=8), _NUMERIC, ["surface"])[1]
+    return tasks.train_task("top3", records(spark, sf_dir), modeling.TrainConfig(), _NUMERIC, _CATEGORICAL)[1]

@@ -175,7 +175,13 @@ def test_training_task_is_saved_loaded_and_used(spark, tmp_path):
     upcoming = records.filter("race_id = 'r499'").withColumn("race_date", F.lit("2030-01-01").cast("date"))
     card = tasks.predict_task("top3", records, upcoming, bundle)
     assert sorted(r.predicted_rank for r in card.collect()) == list(range(1, 7))
-    assert tasks.backtest_task("top3", records, bundle)[1].count() == 500
+    backtest, summary = tasks.backtest_task("top3", records, bundle)
+    assert summary.count() == 500
+    told = lambda df: sorted((r.race_id, r.horse_number, r.predicted_rank, round(r.probability, 9)) for r in df.collect())
+    assert told(tasks.predict_race(records, upcoming, "r499", again)) == told(card)
+    assert told(tasks.predict_historical_race(records, "r321", again)) == told(backtest.filter("race_id = 'r321'"))
+    with pytest.raises(ValueError, match="no rows of race r9999"):
+        tasks.predict_historical_race(records, "r9999", bundle)
     with pytest.raises(ValueError, match="of 100 rows 98 have a result, 2 don't"):
         tasks.train_task("top3", records.filter("int(substr(race_id, 2)) * 6 + horse_number <= 100"), config)
 
