@@ -4,7 +4,9 @@ Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lowe
 words of a benchmark item; an item of fewer words, but not none, is one window. The training texts' term frequencies tell
 which three words of each window are the rarest; postings (term, document, position) are written once to the shared folder
 for those terms alone, adjusted by the word's offset in the item, and intersected: a document, item and shift with as many
-rare terms as a window has is compared word by word. So frequent terms have no lists, and no window that occurs is missed.
+rare terms as a window has is an alignment. So frequent terms have no lists, and no window that occurs is missed. A window that
+several places of items have is aligned for the first of them only, and the places that a document's alignments leave are
+merged, so each is compared once, by the window's hash (96 bits): repetitive texts cost no more than others.
 A posting of the empty term, at the place after a document's last word, tells its length. The index is of one benchmark's
 rare terms and one run; ``prepared`` makes it, ``matches``, ``judge`` and ``proximity`` read it.
 
@@ -25,6 +27,7 @@ RAREST = 3
 #: What is broadcast has so many bytes at most, by a sum over its rows; larger sides are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 _NO_ID = -(1 << 63)
+Index = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 
 
 def words(text: Column) -> Column:
@@ -42,16 +45,29 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(common.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("_k"), F.xxhash64(own).alias("_h"), own.alias("_t"))
 
 
-def _anchors(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(item, s, at, term): the rarest terms of each window (from s) of each item, by their frequency in the texts. A word is
-    dealt to the windows that it is in, so the work follows the items' words."""
+def _hashed(window: Column) -> tuple[Column, Column]:
+    """What tells windows apart; windows of other lengths differ in it too."""
+    return F.xxhash64(window).alias("a"), F.hash(window).alias("b")
+
+
+def _windows(items: DataFrame, width: int) -> DataFrame:
+    """(a, b, item, item_id, s): each window of each item, where it begins."""
+    size = F.least(F.lit(width), F.col("n"))
+    each = items.select("item", "item_id", "w", size.alias("size"), F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("s"))
+    return common.cut(each.select(*_hashed(F.slice("w", F.col("s") + 1, F.col("size"))), "item", "item_id", "s"))
+
+
+def _anchors(texts: DataFrame, items: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """(item, s, at, term, first): the rarest terms of each window (from s) of each item, by their frequency in the texts, and
+    whether this is the first of equal windows. A word is dealt to the windows that it is in, so the work follows the items' words."""
     each = items.select("item", "n", F.posexplode("w").alias("at", "term"))
     terms = common.cut(each.select("term").distinct())
     counted = texts.select(F.explode(words(F.col("_t"))).alias("term")).join(_bounded(terms, F.octet_length("term")), "term").groupBy("term").agg(F.count("*").alias("df"))
     inside = each.join(counted, "term", "left").withColumn("s", F.explode(F.sequence(F.greatest(F.col("at") - width + 1, F.lit(0)), F.least(F.col("at"), F.greatest(F.col("n") - width, F.lit(0))))))
     rare = Window.partitionBy("item", "s").orderBy(F.coalesce("df", F.lit(0)), "at")
     chosen = inside.withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= RAREST)
-    return common.cut(chosen.select("item", "s", "at", "term"))
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("item", "s")).alias("x")).select("x.item", "x.s", F.lit(True).alias("first"))
+    return common.cut(chosen.join(first, ["item", "s"], "left").select("item", "s", "at", "term", F.coalesce("first", F.lit(False)).alias("first")))
 
 
 def _postings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -66,11 +82,12 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return common.cut(split.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "w", F.size("w").alias("n")))
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The items, their anchors and the index: may be handed to several of the functions below."""
+def prepared(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> Index:
+    """The items, their anchors, the index and the items' windows: may be handed to several of the functions below."""
     texts, items = _keyed(docs, doc_id, text), _items(benchmark, item_id, text)
-    anchors = _anchors(texts, items, width)
-    return items, anchors, _postings(texts, anchors)
+    windows = _windows(items, width)
+    anchors = _anchors(texts, items, windows, width)
+    return items, anchors, _postings(texts, anchors), windows
 
 
 def _shifted(index: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -78,48 +95,59 @@ def _shifted(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return index.join(_bounded(anchors, F.octet_length("term")), "term").withColumn("shift", F.col("p") - F.col("at")).drop("term", "p")
 
 
-def _hits(docs: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], doc_id: str, text: str, width: int) -> DataFrame:
-    """(_k, _h, hits array<struct<item_id, start, end>>): the spans of words that windows of items have in each document.
-
-    A document's alignments are one list beside its words, and compared where they are: no part of it is copied."""
-    items, anchors, postings = index
-    met = _shifted(postings, anchors.select("item", "at", "term").distinct()).groupBy("_k", "_h", "item", "shift").agg(F.countDistinct("at").alias("c"))
-    lengths = items.select("item", "n")
-    aligned = common.cut(met.join(_bounded(lengths, 0), "item").filter(F.col("c") >= F.least(F.lit(RAREST), F.col("n"))).select("_k", "_h", "item", "shift"))
-    wanted = aligned.groupBy("_k", "_h", "item").agg(F.collect_list("shift").alias("shifts")).join(_bounded(items, F.octet_length(F.array_join("w", " ")) + 8 * F.col("n")), "item")
-    wanted = common.cut(wanted.groupBy("_k", "_h").agg(F.collect_list(F.struct("item_id", "w", "n", "shifts")).alias("to")))
-    small = wanted.select("_k", "_h")
-    some = _keyed(docs, doc_id, text).join(_bounded(small, 0), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
+def _ranges(index: Index, width: int) -> DataFrame:
+    """(_k, _h, ranges array<struct<size, lo, hi>>): the places of each document at which windows of that many words may begin,
+    as ranges that don't meet, so there are at most as many as the document has words."""
+    items, anchors, postings, _ = index
+    met = _shifted(postings, anchors.filter("first").select("item", "at", "term").distinct()).groupBy("_k", "_h", "item", "shift").agg(F.countDistinct("at").alias("c"))
+    enough = met.join(_bounded(items.select("item", "n"), 0), "item").filter(F.col("c") >= F.least(F.lit(RAREST), F.col("n")))
+    size = F.least(F.lit(width), F.col("n"))
+    aligned = enough.select("_k", "_h", size.alias("size"), F.greatest("shift", F.lit(0)).alias("lo"), (F.col("shift") + F.col("n") - size).alias("hi")).filter("hi >= lo").distinct()
+    order = Window.partitionBy("_k", "_h", "size").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = aligned.withColumn("new", (F.col("lo") > F.coalesce(before, F.lit(-2)) + 1).cast("int")).withColumn("part", F.sum("new").over(order))
+    merged = parted.groupBy("_k", "_h", "size", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return common.cut(merged.groupBy("_k", "_h").agg(F.collect_list(F.struct("size", "lo", "hi")).alias("ranges")))
+
+
+def _spans(docs: DataFrame, index: Index, doc_id: str, text: str, width: int) -> DataFrame:
+    """(_k, _h, start, end, a, b): the spans of words that are windows of items, and which windows; in the shared folder."""
+    ranges = _ranges(index, width)
+    some = _keyed(docs, doc_id, text).join(_bounded(ranges, 12 * F.size("ranges")), ["_k", "_h"])
     # Few bytes, but much work: dealt to as many tasks as any shuffle, not to as few as the bytes would fit.
-    found = some.join(wanted, ["_k", "_h"]).repartition(common.parallelism(docs.sparkSession), "_k", "_h").select("_k", "_h", words(F.col("_t")).alias("d"), "to")
+    some = some.repartition(common.parallelism(docs.sparkSession), "_k", "_h").dropDuplicates(["_k", "_h"])
+    found = some.select("_k", "_h", words(F.col("_t")).alias("d"), "ranges")
+
+    def places(r: Column) -> Column:
+        last = F.least(r.hi, F.size("d") - r.size)
+        starts = F.when(last >= r.lo, F.sequence(r.lo, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.struct(at.alias("start"), (at + r.size).alias("end"), *_hashed(F.slice("d", at + 1, r.size))))
+
+    tried = found.select("_k", "_h", F.explode(F.flatten(F.transform("ranges", places))).alias("x")).select("_k", "_h", "x.*")
+    return common.cut(tried.join(_bounded(index[3].select("a", "b").distinct(), 0), ["a", "b"], "left_semi"))
 
-    def spans(t: Column, shift: Column) -> Column:
-        """Where windows of one item begin that the document has at one shift."""
-        size = F.least(F.lit(width), t.n)
-        first, last = F.greatest(-shift, F.lit(0)), F.least(t.n, F.size("d") - shift) - size
-        same = lambda i: F.forall(F.sequence(F.lit(0), size - 1), lambda j: F.get(t.w, i + j) == F.get("d", i + j + shift))
-        starts = F.when(last >= first, F.filter(F.sequence(first, last), same)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(t.item_id.alias("item_id"), (i + shift).alias("start"), (i + shift + size).alias("end")))
 
-    of_item = lambda t: F.flatten(F.transform(t.shifts, lambda shift: spans(t, shift)))
-    return found.select("_k", "_h", F.flatten(F.transform("to", of_item)).alias("hits")).filter(F.size("hits") > 0)
+def _named(found: DataFrame, index: Index) -> DataFrame:
+    """What was found, with the ids of the items that have the window."""
+    names = index[3].select("a", "b", "item_id").distinct()
+    return found.join(_bounded(names, F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0))), ["a", "b"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, index: Index | None = None) -> DataFrame:
     """(doc_id, item_id, start, end): every window of an item that a document has, as a span of the document's words."""
-    found = _hits(docs, index or prepared(docs, benchmark, doc_id, item_id, text, width), doc_id, text, width)
-    return found.select(_id(), F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    index = index or prepared(docs, benchmark, doc_id, item_id, text, width)
+    return _named(_spans(docs, index, doc_id, text, width), index).select(_id(), "item_id", "start", "end")
 
 
 def _id() -> Column:
     return F.when(F.col("_k") != _NO_ID, F.col("_k")).alias("doc_id")
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, slack: int = 3, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+def proximity(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = WIDTH, slack: int = 3, index: Index | None = None) -> DataFrame:
     """(doc_id, item_id, shift, terms): all rare terms of some window, their shifts at most ``slack`` words apart."""
-    items, anchors, postings = index or prepared(docs, benchmark, doc_id, item_id, text, width)
+    items, anchors, postings, _ = index or prepared(docs, benchmark, doc_id, item_id, text, width)
     ahead = Window.partitionBy("_k", "_h", "item", "s").orderBy("shift").rangeBetween(0, slack)
-    close = _shifted(postings, anchors).withColumn("terms", F.size(F.collect_set("at").over(ahead)))
+    close = _shifted(postings, anchors.drop("first")).withColumn("terms", F.size(F.collect_set("at").over(ahead)))
     wanted = anchors.groupBy("item", "s").agg(F.count("*").alias("of"))
     names = items.select("item", "item_id")
     enough = close.join(_bounded(wanted, 0), ["item", "s"]).filter("terms = of").join(_bounded(names, F.octet_length(F.col("item_id").cast("string"))), "item")
@@ -132,11 +160,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
 
     contaminated: share * n_hit >= n_words, with a hit at least."""
     index = prepared(docs, benchmark, doc_id, item_id, text, width)
-    spans = F.array_sort(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.end.alias("end"))))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate(spans, start, lambda s, h: F.struct((s.n + F.greatest(h.end - F.greatest(h.start, s.end), F.lit(0))).alias("n"), F.greatest(s.end, h.end).alias("end")))
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h.item_id.cast("string"))))
-    hits = _hits(docs, index, doc_id, text, width).select("_k", "_h", covered.n.cast("long").alias("n_hit"), ids.alias("items"))
+    covered = F.aggregate("spans", start, lambda s, h: F.struct((s.n + F.greatest(h.end - F.greatest(h.start, s.end), F.lit(0))).alias("n"), F.greatest(s.end, h.end).alias("end")))
+    found = _spans(docs, index, doc_id, text, width)
+    counted = found.groupBy("_k", "_h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")).select("_k", "_h", covered.n.cast("long").alias("n_hit"))
+    ids = _named(found.select("_k", "_h", "a", "b").distinct(), index).groupBy("_k", "_h").agg(F.array_sort(F.transform(F.collect_set(F.struct(F.col("item_id").cast("string").alias("i"))), lambda x: x.i)).alias("items"))
+    hits = counted.join(ids, ["_k", "_h"], "left")
     texts = index[2].filter("term = ''").select("_k", "_h", _id(), F.col("p").cast("long").alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return texts.join(hits, ["_k", "_h"], "left").select(

@@ -352,6 +352,20 @@ def test_decontaminate_against_brute_force(spark):
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (n, hit, sorted(map(str, want)), hit > 0 and 20 * hit >= n)
 
 
+def test_decontaminate_repetitive_texts_cost_their_length(spark):
+    """100,000 equal words against 1,000 of them, and periods of two and three: seconds, where all alignments by all windows
+    would be 10^9 comparisons. Items that share windows, and one without an id, are all named."""
+    items = [(1, "a " * 1000), (2, "b c " * 500), (3, "a " * 14), (4, "x y z " * 300), (None, "a " * 13), (5, "b " * 3 + "c")]
+    texts = ["a " * 100_000, "c b " * 20_000, "y z x " * 10_000 + "a " * 12, "a " * 12 + "q", None]
+    docs, bench = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    index = decontaminate.prepared(docs, bench)
+    assert decontaminate._ranges(index, 13).agg(F.max(F.size("ranges"))).first()[0] == 1
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.judge(docs, bench).collect()}
+    assert got[0] == (100_000, 100_000, ["1", "3", None], True) and got[1] == (40_000, 40_000, ["2"], True)
+    assert got[2] == (30_012, 30_000, ["4"], True) and got[3] == (13, 0, [], False) and got[4] == (0, 0, [], False)
+    assert decontaminate.matches(docs, bench, index=index).filter("doc_id = 1").count() == 40_000 - 12
+
+
 def test_proximity_is_within_slack_and_one_window(spark):
     short, long = [f"i{i}" for i in range(13)], [f"j{i}" for i in range(26)]
     bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
