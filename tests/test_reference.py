@@ -3,6 +3,8 @@ import math
 import random
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -197,6 +199,24 @@ def test_features_of_rare_missing_and_unseen_categories(spark):
     assert sorted(fitted.transform(train).select(vector_to_array("features")[0]).toPandas().iloc[:, 0].round(6)) == pytest.approx([-1.732051, 0, 0, 0, 0, 1.732051])
 
 
+def test_ids_of_many_files_take_few_plans(spark, tmp_path):
+    """Ids as text and as every kind of number, columns in other places, files without the column, unreadable ones, odd names."""
+    from decimal import Decimal
+
+    kinds = {"text": (["a1", None], pa.string()), "long": ([202101010101], pa.int64()), "int": ([7], pa.int32()), "double": ([202101010102.0, 1.5, float("nan")], pa.float64()), "float": ([3.0], pa.float32()), "decimal": ([Decimal("12.00")], pa.decimal128(9, 2)), "many": ([float(100 * i) for i in range(3)], pa.float64())}
+    for name, (values, kind) in kinds.items():
+        pq.write_table(pa.table({"x": pa.array(range(len(values))), "race_id": pa.array(values, kind)}), tmp_path / f"{name}.parquet")
+    pq.write_table(pa.table({"other": [1]}), tmp_path / "other.parquet")
+    (tmp_path / "junk.parquet").write_text("junk")
+    texts = {"a b+c%20.csv": "race_id,x\n21,0\n22.0,1\n", "turned.csv": 'x,"race_id"\n0,"23"\n', "other.csv": "x,y\n1,2\n", "empty.csv": ""} | {f"n{i}.csv": f"x,race_id\n9,{1000 + i}\n" for i in range(30)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = files.ids_from_files(spark, [str(tmp_path / n) for n in [*texts, "gone.csv", "gone.parquet", "junk.parquet", "other.parquet", *(f"{k}.parquet" for k in kinds)]])
+    want = {"a1", "202101010101", "7", "202101010102", "1.5", "NaN", "3", "12", "0", "100", "200", "21", "22", "23", *(str(1000 + i) for i in range(30))}
+    assert sorted(r.race_id for r in found.collect()) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == len(files.ID_TYPES) + 3
+
+
 def test_files_are_written_and_read(spark, tmp_path):
     root = tmp_path / "pages"
     for place, text in (("historical/2024/result/202401010101_a.html", b"<p>\xe9 x"), ("historical/2024/result/202401010101_b.html", b"b"), ("historical/horse/h1.html", b"h"), ("upcoming/2025/card/202501010101.html", b"c")):
