@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from furlong.functions import outline
 from furlong.functions import pages as page
 from furlong.functions.outline import Outline, shaped
 from furlong.operators import extract
@@ -85,3 +86,25 @@ def test_range_of_days(spark):
     assert sorted((r.race_id, r.horse_id, r.sire_id or "") for r in runners.collect()) == [("202603020611", "2020100001", ""), ("202603020611", "ab12", "s")] and errors.count() == 0
     with pytest.raises(ValueError):
         extract.ingest_date_range(lists, files, kin, "2026-07-13", "2026-07-12", "historical")
+
+
+ODD = [
+    "", "x", "a < b", "<td>1", "<table><tr><td/></td><td>2</table>", "<p selected>a<br/>b&amp;c<!-- d -->e", "<title>a<b>c</title>d", "<script>if (a < b) '<td>'</script>c", "<style></p></style>d", "<a href=x>y</a>", "a<td",
+    "<table><tr><th>a</th><th>b</th></tr><tr><td rowspan=\"2\">1</td><td><a href='/horse/9'>n</a> m</td></tr><tr><td>2</td></tr></table>", "<diary_cut>4-3</diary_cut>", "<table><td class='TimeIndex'>x</td><td>y&nbsp;z</TD></table>",
+]
+
+
+def test_plain_markup_reads_as_the_parser_reads_it(monkeypatch):
+    texts = [*ODD, *(f"<html><table class='race_table_01'>{a}{b}</table>{a}" for a in ODD for b in ODD)]
+    quick = [extract._outline(t) for t in texts]
+    plain = [outline.tokens(t) is not None for t in texts]
+    monkeypatch.setattr(outline, "tokens", lambda html: None)
+    assert quick == [extract._outline(t) for t in texts]
+    assert sum(plain) > 20 and not all(plain)
+    assert extract._columns(quick).to_pylist() == quick
+
+
+def test_whole_pages_do_not_need_the_parser(monkeypatch):
+    page = "<!DOCTYPE html><html><head><title>t</title><script>var t='<td>';</script></head><table class='race_table_01'><tr><th>a_b</th></tr><tr><td><diary_snap_cut>1</diary_snap_cut></td></tr></table>"
+    monkeypatch.setattr(outline.Outline, "feed", None)
+    assert extract._outline(page)["error"] is None and extract._outline(page)["tables"][0]["rows"] == [{"cells": ["1"], "links": []}]
