@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.functions.names import exact, fresh
+from furlong.sources.records import dealt, ordered
 
 #: Fixed value: how a printed price looks.
 PRICE = r"^[0-9]+(\.[0-9]+)?$"
@@ -18,12 +19,13 @@ def valid_price(odds: Column, popularity: Column) -> Column:
     return F.coalesce(odds.rlike(PRICE) & popularity.rlike("^[0-9]+$"), F.lit(False))
 
 
-def enrich_odds(cards: DataFrame, snapshots: DataFrame) -> DataFrame:
+def enrich_odds(cards: DataFrame, snapshots: DataFrame, tasks: int | None = None) -> DataFrame:
     """cards with the odds and popularity of their race's latest valid snapshot (race_id, horse_number, ts, odds, popularity,
     as text); runners without one keep theirs. Numbers match with or without leading zeros. enriched tells which were set."""
     key, new = fresh("number", cards.columns), fresh("new", cards.columns)
     number = lambda d: F.when(F.length(d["horse_number"].cast("string")) < 2, F.lpad(d["horse_number"].cast("string"), 2, "0")).otherwise(d["horse_number"].cast("string"))
     valid = snapshots.filter(valid_price(F.col("odds"), F.col("popularity")))
+    valid = dealt(valid, tasks, "race_id")
     last = valid.groupBy("race_id", number(valid).alias(key)).agg(F.max(F.struct("ts", "odds", "popularity")).alias(new))
     joined = cards.withColumn(key, number(cards)).join(last, ["race_id", key], "left")
     return joined.withColumns({
@@ -59,10 +61,10 @@ def attach_latest(rows: DataFrame, dimension: DataFrame, key: str, *order: Colum
     return rows.join(one, key, "left")
 
 
-def race_runners(rows: DataFrame, race_ids: list[str] | None = None) -> DataFrame:
+def race_runners(rows: DataFrame, race_ids: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """The runners of races (all without ids), by finish and number, missing ones last."""
     some = rows if race_ids is None else rows.filter(F.col("race_id").isin(race_ids))
-    return some.orderBy("race_id", F.asc_nulls_last("finish_position"), F.asc_nulls_last("horse_number"))
+    return ordered(some, tasks, "race_id", F.asc_nulls_last("finish_position"), F.asc_nulls_last("horse_number"))
 
 
 def prediction_vs_actual(predicted: DataFrame, actual: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furlong.functions import pages, parse
 from furlong.operators import cards, maintenance, modeling, runs
 from furlong.plans.queries import _SPLIT, _register
-from furlong.sources.records import records, table
+from furlong.sources.records import records, table, task_count
 
 _CURVES = """, c AS (SELECT race_id AS model_run_id, horse_number AS epoch, 0.5::DOUBLE + (h % 50) / 100.0::DOUBLE AS train_auc, 0.45::DOUBLE + (h * 7 % 50) / 100.0::DOUBLE AS val_auc,
   0.3::DOUBLE + (h % 13) / 20.0::DOUBLE AS val_loss FROM (SELECT *, CAST(horse_id AS INTEGER) AS h FROM r))"""
@@ -69,7 +69,7 @@ def unpivot_curves(spark, sf_dir):
 
 @_register("SELECT jockey_id, count(*) AS n_rows, count(DISTINCT race_date) AS n_days, count(DISTINCT race_id) AS n_races, count(DISTINCT horse_id) AS n_horses FROM r GROUP BY 1")
 def run_counters(spark, sf_dir):
-    return runs.run_counters(records(spark, sf_dir), "jockey_id")
+    return runs.run_counters(records(spark, sf_dir), "jockey_id", task_count(spark, sf_dir))
 
 
 @_register("SELECT race_id, horse_id, race_date BETWEEN CASE WHEN surface <> '5-LOW' THEN DATE '1994-01-01' END AND DATE '1995-12-31' AS in_test_period FROM r")
@@ -120,7 +120,7 @@ def enrich_latest_value(spark, sf_dir):
     new = r.select("race_id", "horse_number", F.lit(2).alias("ts"), price.alias("odds"), (h % 18 + 1).cast("string").alias("popularity"))
     old = new.withColumns({"ts": F.lit(1), "odds": F.when(h_valid := F.col("odds") != "--", "1.0").otherwise(F.col("odds")), "popularity": F.when(h_valid, "1").otherwise(F.col("popularity"))})
     carded = r.withColumn("popularity", F.lit(None).cast("int"))
-    return cards.enrich_odds(carded, old.unionByName(new)).select("race_id", "horse_id", "odds", "popularity", "enriched")
+    return cards.enrich_odds(carded, old.unionByName(new), task_count(spark, sf_dir)).select("race_id", "horse_id", "odds", "popularity", "enriched")
 
 
 @_register("""SELECT race_id, horse_id, CASE WHEN k % 5 > 0 AND h % 3 > 0 THEN (h % 90 + 10) / 10.0::DOUBLE ELSE odds END AS odds, CASE WHEN k % 5 > 0 AND h % 3 > 0 THEN CAST(h % 18 + 1 AS INTEGER) END AS popularity
@@ -153,7 +153,7 @@ def attach_dimension_latest(spark, sf_dir):
 
 @_register("SELECT race_id, horse_id, horse_number, finish_position FROM r")
 def race_runners(spark, sf_dir):
-    return cards.race_runners(records(spark, sf_dir)).select("race_id", "horse_id", "horse_number", "finish_position")
+    return cards.race_runners(records(spark, sf_dir), tasks=task_count(spark, sf_dir)).select("race_id", "horse_id", "horse_number", "finish_position")
 
 
 @_register("SELECT race_id, CASE WHEN CAST(race_id AS BIGINT) % 3 = 0 OR horse_number > 1 THEN horse_id END AS horse_id, horse_number, finish_position AS actual_finish FROM r")

@@ -7,7 +7,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import maintenance, modeling, summary
+from furlong.operators import cards, maintenance, modeling, runs, summary
+from furlong.sources import records as records_module
 
 
 def test_medians(spark):
@@ -59,3 +60,25 @@ def test_deletes_by_many_prefixes_keep_the_plan_small(spark):
     same, counts = maintenance.delete_joined({"races": rows}, "race_id", wanted)
     assert sorted(r.race_id or "" for r in same["races"].collect()) == ["", "1", "123", "12a", "7"] and counts.first().deleted == 1
     assert maintenance.delete_joined({"races": rows}, "race_id", wanted.limit(0), prefix=True)[0]["races"].count() == 6
+
+
+def test_tasks_follow_from_rows(spark, tmp_path):
+    lines = spark.range(3000).selectExpr("id div 4 as l_orderkey", "id as l_partkey", "id % 7 as l_suppkey", "10.0D as l_extendedprice", "1.0D as l_quantity", "'N' as l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(750).selectExpr("id as o_orderkey", "timestamp_ntz'1995-01-01 00:00:00' as o_orderdate", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    assert records_module.task_count(spark, str(tmp_path), 100) == 30 and records_module.task_count(spark, str(tmp_path)) == spark.sparkContext.defaultParallelism
+    r = records_module.records(spark, str(tmp_path))
+    assert r.count() == 3000
+    for one in (summary.race_options(r), summary.race_options_history(r, 9), cards.race_runners(r, tasks=9)):  # races stay in their tasks
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(race_id" in plan and plan.count("hashpartitioning(race_id") <= 2
+    assert [x.race_id for x in cards.race_runners(r, tasks=9).collect()] == [x.race_id for x in cards.race_runners(r).collect()]
+
+
+def test_counts_of_missing_values(spark):
+    rows = spark.createDataFrame([("a", "1", "x", "2020-01-01", 1.0), ("a", "1", None, None, None), (None, None, "x", "2020-01-01", 2.0), ("a", "2", "y", "2020-01-02", None)], "run string, race_id string, horse_id string, day string, finish_position double").withColumn("race_date", F.to_date("day"))
+    for tasks in (None, 3):
+        found = {r.run: (r.n_rows, r.n_days, r.n_races, r.n_horses) for r in runs.run_counters(rows, "run", tasks).collect()}
+        assert found == {"a": (3, 2, 2, 2), None: (1, 1, 0, 1)}
+    assert tuple(summary.filter_audit(rows).first()) == (4, 2, 2, 2, 1)
+    assert tuple(summary.filter_audit(rows.limit(0)).first()) == (0, 0, 0, 0, 0)
