@@ -13,6 +13,7 @@ kept. Columns that the table's rows lack are NULL, others are dropped, by ``conf
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -25,8 +26,8 @@ from furlong.sources.records import TYPES, conform
 PARTS = ["dataset_type", "year"]
 #: Groups of rows whose race id has no year.
 GROUPS = 16
-#: Files of a partition, at most.
-FILES = 4
+#: Files of a partition: at least so many can be, and more where rows are more than these for each.
+FILES, ROWS = 4, 200_000
 
 
 def year_of(race_id: Column) -> Column:
@@ -62,10 +63,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def _write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Replaces the partitions that df has rows for. Rows of a partition go to tasks by race, so that a year is many files."""
-    dealt = df.repartition(*PARTS, F.pmod(F.xxhash64("race_id"), F.lit(FILES)))
-    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+def _dealt(df: DataFrame, rows: int, files: int) -> DataFrame:
+    """df with file_no, in tasks by partition and file: rows of a partition go to files by race, so that a year is many."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS))
+    return df.withColumn("file_no", F.pmod(F.xxhash64("race_id"), F.lit(files))).repartition(tasks, *PARTS, "file_no")
+
+
+def _files(rows: int, parts: int) -> int:
+    return max(FILES, math.ceil(rows / ROWS / parts))
+
+
+def _write(dealt: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Replaces the partitions that the rows, dealt before, belong to."""
+    dealt.drop("file_no").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
 
 
 def upsert_facts(path: str, incoming: DataFrame, run_id: str, dataset_type: str, types: dict[str, str] | None = None) -> int:
@@ -83,9 +93,14 @@ def upsert_facts(path: str, incoming: DataFrame, run_id: str, dataset_type: str,
         if not touched:
             raise ValueError("there are no rows to put in")
         key = lambda d: d.select("*", F.coalesce("horse_id", F.lit("")).alias("same_horse"))
-        keys = key(new).select("race_id", "same_horse", "dataset_type").distinct()
-        kept = key(read_facts(spark, path, types).filter(_in_parts(touched))).join(keys, ["race_id", "same_horse", "dataset_type"], "left_anti").drop("same_horse")
-        _write(kept.unionByName(new), path)
+        old = read_facts(spark, path, types).filter(_in_parts(touched))
+        rows = old.count() + new.count()  # Parquet keeps these
+        place = [*PARTS, "file_no"]
+        deal = lambda d: _dealt(d, rows, _files(rows, len(touched)))
+        # A key's rows are in one file of one partition, so what is dealt for the join is dealt for the write.
+        keys = key(deal(new.select("race_id", "horse_id", *PARTS))).select("race_id", "same_horse", *place).distinct()
+        kept = key(deal(old)).join(keys, ["race_id", "same_horse", *place], "left_anti").drop("same_horse")
+        _write(kept.unionByName(deal(new)), path)
         return len(touched)
     finally:
         _delete(spark, stage)
@@ -99,7 +114,8 @@ def delete_facts(spark: SparkSession, path: str, column: str, values: list[str],
     counts = found.groupBy(*PARTS).agg(F.count_if(gone).alias("gone"), F.count("*").alias("n")).filter("gone > 0").collect()
     some, whole = [r for r in counts if r.gone < r.n], [r for r in counts if r.gone == r.n]
     if some:
-        _write(found.filter(_in_parts(some) & ~gone), path)
+        rows = sum(r.n for r in some)
+        _write(_dealt(found.filter(_in_parts(some) & ~gone), rows, _files(rows, len(some))), path)
     for r in whole:
         _delete(spark, f"{path}/dataset_type={r.dataset_type}/year={r.year}")
     return sum(r.gone for r in counts)
