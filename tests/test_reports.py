@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.operators import cards, maintenance, modeling, runs, summary
+from furlong.plans import queries
 from furlong.sources import records as records_module
 
 
@@ -82,3 +83,18 @@ def test_counts_of_missing_values(spark):
         assert found == {"a": (3, 2, 2, 2), None: (1, 1, 0, 1)}
     assert tuple(summary.filter_audit(rows).first()) == (4, 2, 2, 2, 1)
     assert tuple(summary.filter_audit(rows.limit(0)).first()) == (0, 0, 0, 0, 0)
+
+
+def test_ingest_where_numbers_of_races_repeat(spark, tmp_path):
+    """Orders 13 and 1,440,013 of one year have one number, on two days; the page of the higher order counts for both. No day is left out."""
+    duck = pytest.importorskip("duckdb").connect()
+    days = {13: "1992-02-01", 1440013: "1992-03-01", 2880013: "1998-07-01", 14: "1993-01-01"}
+    spark.createDataFrame([(k, d) for k, d in days.items()], "o_orderkey long, d string").selectExpr("o_orderkey", "cast(d as timestamp_ntz) as o_orderdate", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, 10 * i + j, 3, 100.0 + j, 2.0, "N") for i, k in enumerate(days, 1) for j in range(2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("orders", "lineitem"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.QUERIES["ingest_date_range"](spark, str(tmp_path)).select("race_id", "race_date", "horse_id").collect()
+    want = duck.execute(f"SELECT race_id, race_date, horse_id FROM ({queries.ORACLE_SQL['ingest_date_range']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 8
+    assert sorted({(str(r.race_date), r.horse_id) for r in got if r.race_id[:4] == "1992"}) == [(d, h) for d in ("1992-02-01", "1992-03-01") for h in ("20", "21")]
