@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from furlong.functions.names import fresh
 from furlong.operators import extract
 from furlong.sources import facts, files
 
@@ -21,41 +23,71 @@ def latest_snapshot(events: DataFrame, keys: list[str], ts: str, value: str) ->
     return events.groupBy(*keys).agg(last.getField(ts).alias(f"last_{ts}"), last.getField(value).alias(f"last_{value}"))
 
 
-def latest_stream(events: DataFrame, keys: list[str], ts: str, value: str, delay: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
+#: Cells that the keys of ``latest_stream`` are dealt to; a cell is one value of the state.
+CELLS = 1024
+
+
+def _packed(key: Column, kind: str) -> Column:
+    """Numbers and times as text, as pandas has no missing whole numbers, and knows neither NaN from missing nor repeated hours."""
+    numeric = kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
+    return F.unix_micros(key).cast("string") if kind == "timestamp" else key.cast("string") if numeric else key
+
+
+def _unpacked(key: Column, kind: str) -> Column:
+    return F.timestamp_micros(key.cast("bigint")) if kind == "timestamp" else key.cast(kind)
+
+
+def latest_stream(events: DataFrame, keys: list[str], ts: str, value: str, delay: str = "1 hour", expire_ms: int = 86_400_000, cells: int = CELLS) -> DataFrame:
     """A stream of what became the last value of a key: keys, last_<ts>, last_<value>, for update output. A sink that replaces by
     key holds the same rows as ``latest_snapshot`` of the events that weren't late.
 
-    Events that are more than ``delay`` behind the newest are late and dropped. A key's state is its last time and value, and
-    goes when the watermark is expire_ms beyond that time; a later event of the key begins anew, with a later time, as earlier
-    ones would be late. Older and repeated events change nothing; equal times: the larger value, a missing one is the smallest.
-    Events without a time are dropped."""
-    kinds = {f.name: f.dataType for f in events.schema.fields}
-    out = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField(f"last_{ts}", T.TimestampType()), T.StructField(f"last_{value}", kinds[value])])
-    state = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("value", kinds[value])])
-
-    def newest(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+    Events that are more than ``delay`` behind the newest are late and dropped. What is held of a key is its last time and value,
+    and goes when the watermark is expire_ms beyond that time; a later event of the key begins anew, with a later time, as
+    earlier ones would be late. Older and repeated events change nothing; equal times: the larger value, a missing one is the
+    smallest. Events without a time are dropped. Keys are of plain types.
+
+    Keys are dealt to so many cells by their hash, and a cell's keys are compared at once, as a call of Python for each key costs
+    far more than its events do. A batch writes the cells anew that it has events of, so their number should grow with that of
+    keys (some thousands each are well); it stays the same as long as a checkpoint is gone on with."""
+    kinds, types = {f.name: f.dataType for f in events.schema.fields}, dict(events.dtypes)
+    cell, at, has, old = (fresh(n, events.columns) for n in ("cell", "at", "has", "old"))
+    own = [fresh(f"key{i}", events.columns) for i in range(len(keys))]
+    state = T.StructType([T.StructField("rows", T.BinaryType())])
+    plain = {k: F.col(k) + F.lit(0).cast(types[k]) if types[k] in ("float", "double") else F.col(k) for k in keys}  # -0.0 is 0.0
+    empty = F.lit(0).cast(types[value]) if types[value] in ("tinyint", "smallint", "int", "bigint", "boolean") else F.lit(None).cast(types[value])
+    watched = events.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    dealt = watched.select(
+        F.pmod(F.xxhash64(*plain.values()), F.lit(cells)).alias(cell), *(_packed(plain[k], types[k]).alias(o) for k, o in zip(keys, own)),
+        F.unix_micros(ts).alias(at), F.col(value).isNotNull().alias(has), F.coalesce(value, empty).alias(value), ts,
+    )
+    names = [*own, at, has, value]
+    out = T.StructType([dealt.schema[n] for n in names])
+
+    def newest(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        before = pd.read_feather(io.BytesIO(held.get[0])) if held.exists else None
+        rows = None if before is None else before.assign(**{old: True})
+        for batch in () if held.hasTimedOut else batches:
+            one = batch[names].assign(**{old: False})
+            rows = one if rows is None else pd.concat([one, rows])  # of equal ones the last stays, which is the held one
+            for by in (value, has, at):
+                rows = rows.sort_values(by, kind="stable")  # NaN is the largest
+            rows = rows.drop_duplicates(own, keep="last")
+        new = rows[~rows[old]]
+        if len(new):
+            yield new[names]
+        left = rows[rows[at] // 1000 + expire_ms > held.getCurrentWatermarkMs()][names]
+        if left.empty:
             held.remove()
             return
-        before = held.getOption
-        best = before
-        order = lambda x: (x[0], x[1] is not None, x[1])
-        for batch in batches:
-            for t, v in zip(batch[ts], batch[value]):
-                new = (t.to_pydatetime(), None if pd.isna(v) else v)
-                if best is None or order(new) > order(best):
-                    best = new
-        if best is not None and best != before:
-            held.update(best)
-            yield pd.DataFrame([[*key, *best]], columns=out.names)
-        if best is not None:
-            at = pd.Timestamp(best[0])
-            at = at.tz_localize("UTC") if at.tz is None else at
-            held.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + expire_ms, held.getCurrentWatermarkMs() + 1))
-
-    watched = events.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(*keys, ts, value)
-    found = watched.groupBy(*keys).applyInPandasWithState(newest, out, state, "update", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumn(f"last_{ts}", F.col(f"last_{ts}").cast(kinds[ts]))
+        if len(new) or len(left) < len(before):
+            left.reset_index(drop=True).to_feather(packed := io.BytesIO())
+            held.update((packed.getvalue(),))
+        held.setTimeoutTimestamp(int(left[at].min()) // 1000 + expire_ms)
+
+    found = dealt.groupBy(cell).applyInPandasWithState(newest, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select(
+        *(_unpacked(F.col(o), types[k]).alias(k) for k, o in zip(keys, own)), F.timestamp_micros(at).cast(kinds[ts]).alias(f"last_{ts}"), F.when(F.col(has), F.col(value)).alias(f"last_{value}")
+    )
 
 
 def ingest(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]):

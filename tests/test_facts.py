@@ -152,3 +152,36 @@ def test_latest_stream_equals_the_batch_and_forgets(spark, tmp_path):
     want = {r.user: (r.last_ts, r.last_value) for r in snapshots.latest_snapshot(spark.createDataFrame(on_time, kind), ["user"], "ts", "value").collect()}
     assert seen == want
     assert max(states) >= 3 and states[-1] <= 2
+
+
+def test_latest_stream_compares_many_keys_in_few_calls(spark, tmp_path):
+    """Whole numbers beyond 2**53 beside missing ones, NaN, equal times, and keys of a cell that expire at different times."""
+    start, kind = datetime.datetime(2024, 1, 1), "user bigint, share double, ts timestamp, value bigint"
+    big, hours = 2**53 + 1, lambda n: start + datetime.timedelta(hours=n)
+    draw = random.Random(3)
+    batches = [
+        [(draw.randrange(3000), 0.5, hours(draw.random()), draw.choice([None, 1, 2])) for _ in range(9000)] + [(big + i, 0.5, hours(0), v) for i in range(2) for v in (big + i, None, 5)],
+        [(None, float("nan"), hours(30), big), (None, float("nan"), hours(30), big + 1), (None, None, hours(30), None), (big, 0.0, hours(30), 1), (big, -0.0, hours(30), 2)],
+        [(big, 0.5, hours(30), 7), (big, 0.0, hours(30), 1), (None, None, hours(29.5), 9)],
+        [(1, 1.0, hours(90), 1)],
+        [(1, 1.0, hours(91), 2)],
+    ]
+    seen, calls, states = {}, [], []
+
+    def sink(batch, _):
+        found = batch.collect()
+        calls.append(len(found))
+        seen.update({(r.user, str(r.share)): (r.last_ts, r.last_value) for r in found})
+
+    (tmp_path / "in").mkdir()
+    for i, own in enumerate(batches):
+        spark.createDataFrame(own, kind).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        next((tmp_path / f"b{i}").glob("*.parquet")).rename(tmp_path / "in" / f"{i}.parquet")
+        out = snapshots.latest_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), ["user", "share"], "ts", "value", cells=2)
+        query = out.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    rows = spark.createDataFrame([r for own in batches for r in own], kind)
+    want = {(r.user, str(r.share)): (r.last_ts, r.last_value) for r in snapshots.latest_snapshot(rows, ["user", "share"], "ts", "value").collect()}
+    assert seen == want and len(seen) > 2500
+    assert max(states) == 2 and states[-1] == 1 and sum(calls) == len({(r[0], str(r[1] if r[1] is None else r[1] + 0.0)) for own in batches for r in own}) + 2
