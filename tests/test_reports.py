@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import cards, maintenance, modeling, runs, summary
+from furlong.operators import cards, maintenance, modeling, prepare, runs, summary
 from furlong.plans import queries
 from furlong.sources import records as records_module
 
@@ -76,6 +76,23 @@ def test_tasks_follow_from_rows(spark, tmp_path):
     assert [x.race_id for x in cards.race_runners(r, tasks=9).collect()] == [x.race_id for x in cards.race_runners(r).collect()]
 
 
+def test_feature_vectors_make_runner_rows_once(spark, tmp_path, monkeypatch):
+    """What is read again is the written table; categories too many to broadcast are joined in tasks that follow from the rows."""
+    duck = pytest.importorskip("duckdb").connect()
+    spark.range(3000).selectExpr("id div 4 as l_orderkey", "id % 90 as l_partkey", "id % 70 as l_suppkey", "10.0D + id % 37 as l_extendedprice", "1.0D as l_quantity", "'N' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(750).selectExpr("id as o_orderkey", "timestamp_ntz'1995-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 40 as int)) as o_orderdate", "'F' as o_orderstatus", "concat(id % 3, '-X') as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("orders", "lineitem"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(duck.execute(f"SELECT race_id, horse_id, odds_scaled, hot_slots FROM ({queries.ORACLE_SQL['feature_vectors']})").fetchall())
+    monkeypatch.setattr(records_module.task_count, "__defaults__", (200,))
+    for small in (200_000, 10):
+        monkeypatch.setattr(prepare, "SMALL", small)
+        out = queries.QUERIES["feature_vectors"](spark, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and ("REPARTITION_BY_NUM" in plan) == (small == 10) and (small > 10 or ", 15), REPARTITION_BY_NUM" in plan)
+        assert sorted(map(tuple, out.collect())) == want
+
+
 def test_counts_of_missing_values(spark):
     rows = spark.createDataFrame([("a", "1", "x", "2020-01-01", 1.0), ("a", "1", None, None, None), (None, None, "x", "2020-01-01", 2.0), ("a", "2", "y", "2020-01-02", None)], "run string, race_id string, horse_id string, day string, finish_position double").withColumn("race_date", F.to_date("day"))
     for tasks in (None, 3):
