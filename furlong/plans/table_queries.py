@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from furlong.operators import history, maintenance, standing, summary
 from furlong.plans.queries import _ASOF, _FEATURES, _WINDOWS, ORACLE_SQL, _parts, _register
 from furlong.sources import facts
-from furlong.sources.records import records, table
-from furlong.sources.shared import shared_folder
+from furlong.sources.records import records, table, task_count
+from furlong.sources.shared import shared_folder, written
 from furlong.streaming import snapshots
 
 
@@ -42,12 +42,13 @@ def historical_features_segmented(spark, sf_dir):
 @_register(f"SELECT race_id, horse_id, {', '.join(f'round({c}, 9) AS {c}' for c in history.FEATURES)} FROM (SELECT *, {_ASOF})")
 def asof_from_standings(spark, sf_dir):
     """All rows but those of the last two days first, then each of these by itself."""
-    path, r = _folder(spark), records(spark, sf_dir)
+    path, tasks = _folder(spark), task_count(spark, sf_dir)
+    r = written(records(spark, sf_dir).select("race_id", "race_date", "horse_id", "horse_name", "finish_position", "odds"))
     last = [x.race_date for x in r.select("race_date").distinct().orderBy(F.desc("race_date")).limit(2).collect()][::-1]
-    standing.build(r.filter(F.col("race_date") < last[0]), path)
+    standing.build(r.filter(F.col("race_date") < last[0]), path, tasks)
     for day in last:
-        standing.add_day(spark, path, r, day)
-    return standing.asof_features(spark, path, r).select("race_id", "horse_id", *(F.round(c, 9).alias(c) for c in history.FEATURES))
+        standing.add_day(spark, path, r, day, tasks)
+    return standing.asof_features(spark, path, r, tasks).select("race_id", "horse_id", *(F.round(c, 9).alias(c) for c in history.FEATURES))
 
 
 @_register(ORACLE_SQL["latest_snapshot_per_user"], False)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.operators import history, standing
+from furlong.plans import queries
 
 KIND = "race_id string, race_date date, horse_id string, horse_name string, horse_number int, finish_position double, odds double, k string, runner string, s_odds int"
 
@@ -75,3 +76,26 @@ def test_a_day_added_reads_neither_past_rows_nor_past_days(spark, rows, tmp_path
         assert not [f for f in frame.inputFiles() if "/days/" in f] and [f for f in frame.inputFiles() if "/current/" in f]
         assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
     assert last == (datetime.date(2020, 1, 9) - datetime.date(1970, 1, 1)).days
+
+
+def test_rows_are_dealt_to_as_many_tasks_as_told(spark, rows, tmp_path):
+    dated = rows.filter("race_date IS NOT NULL")
+    standing.build(dated.filter("race_date < '2020-01-20'"), str(tmp_path), 9)
+    for day in sorted(r.race_date for r in dated.filter("race_date >= '2020-01-20'").select("race_date").distinct().collect()):
+        standing.add_day(spark, str(tmp_path), rows, day, 9)
+    got = standing.asof_features(spark, str(tmp_path), rows, 9)
+    assert shown(got.select(*(F.round(c, 9) for c in history.FEATURES), "race_id", "horse_number")) == shown(history.asof_features(rows).select(*(F.round(c, 9) for c in history.FEATURES), "race_id", "horse_number"))
+    sums = standing.day_sums(rows, 9)
+    days, current = standing.standings(sums, 9)
+    for one, exchanges in ((sums, 1), (days, 2), (current, 2), (got, 2), (standing.card_features(spark, str(tmp_path), rows, 9), 2)):
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(dealt) == exchanges and all(", 9)" in line for line in dealt) or "BroadcastHashJoin" in plan, plan
+
+
+def test_standings_read_runner_rows_that_are_made_once(spark, tmp_path):
+    spark.range(400).selectExpr("id div 4 as l_orderkey", "id % 9 as l_partkey", "id % 7 as l_suppkey", "10.0D + id % 37 as l_extendedprice", "1.0D as l_quantity", "'N' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id as o_orderkey", "timestamp_ntz'1995-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 20 as int)) as o_orderdate", "'F' as o_orderstatus", "'1-X' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["asof_from_standings"](spark, str(tmp_path))
+    assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString()
+    assert shown(got) == shown(queries.QUERIES["asof_features"](spark, str(tmp_path)))
