@@ -67,9 +67,10 @@ def race_runners(rows: DataFrame, race_ids: list[str] | None = None, tasks: int
     return ordered(some, tasks, "race_id", F.asc_nulls_last("finish_position"), F.asc_nulls_last("horse_number"))
 
 
-def prediction_vs_actual(predicted: DataFrame, actual: DataFrame) -> DataFrame:
+def prediction_vs_actual(predicted: DataFrame, actual: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each prediction beside its result: by horse_id, or by horse_number in races whose results carry no horse_id at all. A
-    missing id (or number) is the same as another one of its race. Columns of predicted named like an output are replaced."""
+    missing id (or number) is the same as another one of its race. Columns of predicted named like an output are replaced.
+    tasks: how many both sides are dealt to, the session's number by default."""
     predicted = predicted.drop("actual_finish")
     k, n, i, other = (fresh(x, predicted.columns) for x in ("key", "nameless", "id", "number"))
     a = actual.select("race_id", F.col("horse_id").alias(i), F.col("horse_number").alias(other), F.col("finish_position").alias("actual_finish"))
@@ -78,7 +79,7 @@ def prediction_vs_actual(predicted: DataFrame, actual: DataFrame) -> DataFrame:
     a = a.withColumn(k, key(F.col(n), F.col(i), F.col(other)))
     kinds = a.groupBy("race_id").agg(F.bool_or(n).alias(n))
     p = predicted.join(kinds, "race_id", "left").withColumn(k, key(F.coalesce(n, F.lit(False)), F.col("horse_id"), F.col("horse_number")))
-    joined = p.drop(n).join(a.drop(n, i), ["race_id", k], "left")
+    joined = dealt(p.drop(n), tasks, "race_id", k).join(a.drop(n, i), ["race_id", k], "left")
     return joined.withColumn("horse_number", F.coalesce("horse_number", other)).select(*map(exact, predicted.columns), "actual_finish")
 
 

@@ -163,7 +163,7 @@ def prediction_vs_actual(spark, sf_dir):
     third = F.col("race_id").cast("long") % 3 == 0
     predicted = r.select("race_id", F.when(third | (F.col("horse_number") > 1), F.col("horse_id")).alias("horse_id"), "horse_number")
     results = r.withColumn("horse_id", F.when(~third & (F.col("horse_number") > 1), F.col("horse_id")))
-    return cards.prediction_vs_actual(predicted, results).select("race_id", "horse_id", "horse_number", "actual_finish")
+    return cards.prediction_vs_actual(predicted, results, task_count(spark, sf_dir)).select("race_id", "horse_id", "horse_number", "actual_finish")
 
 
 @_register(f"""{_SPLIT}, k AS (SELECT coalesce(jockey_id, '__missing__') AS c, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1)

@@ -76,6 +76,17 @@ def test_tasks_follow_from_rows(spark, tmp_path):
     assert [x.race_id for x in cards.race_runners(r, tasks=9).collect()] == [x.race_id for x in cards.race_runners(r).collect()]
 
 
+def test_no_step_is_dealt_by_the_session(spark, tmp_path, monkeypatch):
+    """Runner rows, and whatever is made of them by race, runner or order, go to as many tasks as their number asks for."""
+    spark.range(3000).selectExpr("id div 4 as l_orderkey", "id as l_partkey", "id % 7 as l_suppkey", "10.0D as l_extendedprice", "1.0D as l_quantity", "'N' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(750).selectExpr("id as o_orderkey", "timestamp_ntz'1995-01-01 00:00:00' as o_orderdate", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(records_module.task_count, "__defaults__", (100,))
+    for name in ("backtest_rows", "hist_prior_avg_finish", "hist_prior_top3_rate", "hist_prior_win_rate", "race_runners", "registered_races", "fn_labels", "filter_audit", "prediction_vs_actual"):
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+        assert dealt and all(", 30)" in line for line in dealt), (name, dealt)
+
+
 def test_feature_vectors_make_runner_rows_once(spark, tmp_path, monkeypatch):
     """What is read again is the written table; categories too many to broadcast are joined in tasks that follow from the rows."""
     duck = pytest.importorskip("duckdb").connect()
