@@ -1,5 +1,7 @@
 """Extraction from literal pages: whole ones, broken ones, and ones without what is looked for."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,25 @@ def test_whole_pages_do_not_need_the_parser(monkeypatch):
     page = "<!DOCTYPE html><html><head><title>t</title><script>var t='<td>';</script></head><table class='race_table_01'><tr><th>a_b</th></tr><tr><td><diary_snap_cut>1</diary_snap_cut></td></tr></table>"
     monkeypatch.setattr(outline.Outline, "feed", None)
     assert extract._outline(page)["error"] is None and extract._outline(page)["tables"][0]["rows"] == [{"cells": ["1"], "links": []}]
+
+
+BITS = [
+    "<td>", "</td>", "<TD>", "<th>", "</th>", "<tr>", "</tr>", "<table class='RaceTable01'>", "<table>", "</table>", "<table class='blood_table'>", "<br/>", "</br>", "<p/>", '<div class="RaceData01 x">', "</div>", "<h1>", "</h1>",
+    "<script>", "</script>", "<title>", "</title>", "a", "b c", "&amp;", "<", ">", " ", " 　 ", "<!-- c -->", "<!---->", "<!-->", "<a href='/horse/1/'>", "<a class='q\"r' href='u'>", "<A HREF=\"/jockey/2/\">", "<a class='x TimeIndex' href=\"v\">",
+    "</a>", "<td rowspan='2'>", "<td colspan=2>", "<thead>", "</thead>", "<td class=\"TimeIndexCell\">", "<span class='smalltxt'>", "</span>", "</td x>", "<svg/>", "\r",
+]
+
+
+def test_pages_of_the_same_tags_are_read_by_one_template(monkeypatch):
+    draw = random.Random(4)
+    texts = ["".join(draw.choices(BITS, k=draw.randint(1, 25))) for _ in range(3000)]
+    page = "<html><title>{}</title><div class='RaceData01'>x{}</div><table class='RaceTable01'><tr><th>h {}</th></tr><tr><td>{}</td><td><a href='/horse/{}/'>n{}</a> {}</td></tr></table>"
+    texts += [page.format(*(draw.choice(["", " ", "a", "b&lt;", "c > d"]) for _ in range(7))) for _ in range(200)]
+    calls, read = [], outline.Outline._read
+    monkeypatch.setattr(outline.Outline, "_read", lambda self, *a: calls.append(1) or read(self, *a))
+    outline.template.cache_clear()
+    quick = [extract._outline(t) for t in texts[-200:]]
+    assert len(calls) == 1
+    quick = [extract._outline(t) for t in texts]
+    monkeypatch.setattr(outline, "tokens", lambda html: None)
+    assert quick == [extract._outline(t) for t in texts]
