@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import cards, maintenance, modeling, prepare, runs, summary
+from furlong.operators import cards, history, maintenance, modeling, prepare, runs, summary
 from furlong.plans import queries
 from furlong.sources import records as records_module
 
@@ -126,3 +126,12 @@ def test_ingest_where_numbers_of_races_repeat(spark, tmp_path):
     want = duck.execute(f"SELECT race_id, race_date, horse_id FROM ({queries.ORACLE_SQL['ingest_date_range']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(got) == 8
     assert sorted({(str(r.race_date), r.horse_id) for r in got if r.race_id[:4] == "1992"}) == [(d, h) for d in ("1992-02-01", "1992-03-01") for h in ("20", "21")]
+
+
+def test_backtest_tells_the_day_and_the_rows_of_earlier_days(spark):
+    rows = [("a", "2020-01-02", "h1", 1, 1.0), ("a", "2020-01-02", "h2", 2, 4.0), ("b", "2020-01-02", "h1", 1, 2.0), ("c", "2020-01-01", "h1", 1, None), ("d", "2020-03-01", None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "race_id string, d string, horse_id string, predicted_rank int, finish_position double").select("*", F.to_date("d").alias("race_date"), F.expr("predicted_rank <= 3 and coalesce(finish_position <= 3, false)").alias("top3_hit"))
+    more = df.unionByName(df.limit(2).withColumn("race_date", F.lit("2020-02-01").cast("date")))
+    for used, counts in ((None, (1, 1, 0, 4)), (more, (1, 1, 0, 6))):
+        got = {r.race_id: (r.hit_count, str(r.race_date), r.history_rows_used) for r in history.backtest_summary(df, used).collect()}
+        assert got == dict(zip("abcd", zip((1, 1, 0, 0), ("2020-01-02", "2020-01-02", "2020-01-01", "2020-03-01"), counts)))
