@@ -132,3 +132,18 @@ def test_pages_of_the_same_tags_are_read_by_one_template(monkeypatch):
     quick = [extract._outline(t) for t in texts]
     monkeypatch.setattr(outline, "tokens", lambda html: None)
     assert quick == [extract._outline(t) for t in texts]
+
+
+def test_rows_are_not_made_once_more_to_see_whether_there_are_any(spark):
+    pages = spark.createDataFrame([("202603020611", "2026-07-12", "historical", t) for t in (RESULT, "<p>none", None)], "race_id string, race_date string, dataset_type string, html string")
+    for df, n in ((extract.parse_pages(pages)[0], 2), (extract.extract_tables(extract.outlines(pages), "race_id"), 4)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(line.strip(" +-:").startswith("Filter") and "size(" in line for line in plan.split("\n"))
+        assert df.count() >= n
+
+
+def test_conditions_outside_the_text_are_found(spark):
+    hidden = "<html><title>t</title><div class='TimeIndex'>芝1600m / 天候 : 晴 / 芝 : 良</div></html>"
+    pages = spark.createDataFrame([("202603020611", "2026-07-12", "historical", hidden), ("202603020612", "2026-07-12", "historical", "<p>ダ1200m")], "race_id string, race_date string, dataset_type string, html string")
+    got = {r.race_id: (r.surface, r.distance) for r in extract.race_metadata(extract.outlines(pages)).collect()}
+    assert got == {"202603020611": ("芝", 1600.0), "202603020612": ("ダート", 1200.0)}
